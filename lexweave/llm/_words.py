@@ -8,6 +8,7 @@ the cost is a few array passes per byte and no Python loop runs over words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,6 +85,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Spans of texts of about ``size`` bytes, so that working arrays stay small; a longer text is a span of its own."""
+    offsets = buffers(texts)[1]
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     """Spans of about PIECE bytes that end at a text's end or, in a long text, between words."""
     n, at, out = len(data), 0, []

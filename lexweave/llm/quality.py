@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexweave.llm._words import WORD, words
+from lexweave.llm._words import buffers, slices, words
 from lexweave.session import cut, ship
 
 MAX_LABELLED = 4000
@@ -55,13 +55,16 @@ _KIND[ord("\n")] = 6
 
 def features(texts: pa.Array) -> np.ndarray:
     """One row of features for each text, whole texts."""
+    out = np.zeros((len(texts), len(NAMES)))
+    for i, j in slices(texts):
+        out[i:j] = _features(texts[i:j])
+    return out
+
+
+def _features(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     out = np.zeros((n, len(NAMES)))
-    if not n:
-        return out
     low = words(texts)
-    from lexweave.llm._words import buffers
-
     data, offsets = buffers(texts)
     kind = _KIND[data]
     size = np.diff(offsets)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexweave.llm import mixing, quality
+from lexweave.llm import decontaminate, jaccard, language, mixing, quality
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_quality_pairwise": quality.query,
+    "op5_ngram_jaccard": jaccard.query,
+    "op7_benchmark_decontamination": decontaminate.query,
+    "op10_language_id": language.query,
 }
 SQL = {
     "op1_source_mixing": mixing.SQL,
