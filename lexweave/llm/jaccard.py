@@ -45,10 +45,10 @@ from lexweave.session import cut, ship, small
 N = 5
 THRESHOLD = 0.4
 #: Entries that one fragment should hold; sets how many fragments there are.
-FRAGMENT = 2_000_000
+FRAGMENT = 750_000
 #: Pairs that are looked at in one go.
 CHUNK = 2_000_000
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
