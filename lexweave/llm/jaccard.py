@@ -316,14 +316,24 @@ def _cut_segments(cut_at):
 
 
 def _spread_pairs(fragments: int):
-    """The candidates go to every fragment, packed."""
+    """The candidates go to every fragment, packed.
+
+    A row holds the distinct sets of a run of pairs once, with their sizes, and
+    the pairs as places in that list: some four bytes a pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                raw = [np.ascontiguousarray(b.column(c).to_numpy(zero_copy_only=False)).astype(np.int64).tobytes() for c in ("a", "b", "na", "nb")]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 14):
+                a, b, na, nb = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 1 << 14).columns)
+                known, first, place = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
+                size = np.r_[na, nb][first]
+                x, y = place[: len(a)], place[len(a) :]
+                order = np.lexsort((y, x))
+                x, y = x[order].astype(np.uint16), y[order].astype(np.uint16)
+                raw = [known.tobytes(), size.astype(np.uint32).tobytes(), x.tobytes(), y.tobytes()]
                 for f in range(fragments):
-                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([1], pa.int32()), *[pa.array([x], pa.binary()) for x in raw]], _VERTICAL)
+                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([1], pa.int32()), *[pa.array([v], pa.binary()) for v in raw]], _VERTICAL)
 
     return run
 
@@ -331,35 +341,38 @@ def _spread_pairs(fragments: int):
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of the candidates in each fragment of the partition."""
     held: dict[int, tuple[list, list]] = {}
+    kinds = ((np.int64, np.int64), (np.int64, np.uint32, np.uint16, np.uint16))
     for b in batches:
         role = b.column("role").to_pylist()
         for r, f in enumerate(b.column("frag").to_pylist()):
-            held.setdefault(f, ([], []))[role[r]].append([np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in ("a", "b", "c", "d")[: 4 if role[r] else 2]])
+            held.setdefault(f, ([], []))[role[r]].append([np.frombuffer(b.column(c)[r].as_buffer(), k) for c, k in zip("abcd", kinds[role[r]])])
     for segments, pairs in held.values():
         if not segments or not pairs:
             continue
         sig, key = (np.concatenate(x) for x in zip(*segments))
-        a, b, na, nb = (np.concatenate(x) for x in zip(*pairs))
         known, owner = np.unique(sig, return_inverse=True)
         keys, rank = np.unique(key, return_inverse=True)
         wide = len(keys)
         slot = np.sort(owner * wide + rank)
         edge = np.searchsorted(slot, np.arange(len(known) + 1) * wide)
-        x, y = np.searchsorted(known, a), np.searchsorted(known, b)
-        x[x == len(known)] = 0
-        y[y == len(known)] = 0
-        ok = (known[x] == a) & (known[y] == b)
-        a, b, na, nb, x, y = a[ok], b[ok], na[ok], nb[ok], x[ok], y[ok]
-        flip = np.diff(edge)[x] > np.diff(edge)[y]
-        x, y = np.where(flip, y, x), np.where(flip, x, y)
-        total = np.zeros(len(a), np.int64)
-        for i, j in _expand(edge[x], edge[x + 1]):
-            want = slot[j] % wide + y[i] * wide
-            at = np.searchsorted(slot, want)
-            at[at == len(slot)] = 0
-            total += np.bincount(i[slot[at] == want], minlength=len(a))
-        ok = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (a, b, na, nb, total)], ["a", "b", "na", "nb", "common"])
+        for names, size, x, y in pairs:
+            at = np.searchsorted(known, names)
+            at[at == len(known)] = 0
+            there = known[at] == names
+            ok = there[x] & there[y]
+            x, y = x[ok], y[ok]
+            p, q = at[x], at[y]
+            flip = np.diff(edge)[p] > np.diff(edge)[q]
+            p, q = np.where(flip, q, p), np.where(flip, p, q)
+            total = np.zeros(len(x), np.int64)
+            for i, j in _expand(edge[p], edge[p + 1]):
+                want = slot[j] % wide + q[i] * wide
+                spot = np.searchsorted(slot, want)
+                spot[spot == len(slot)] = 0
+                total += np.bincount(i[slot[spot] == want], minlength=len(x))
+            ok = total > 0
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (names[x], names[y], size[x], size[y], total[ok])], ["a", "b", "na", "nb", "common"])
 
 
 def _width(total: int) -> int:
@@ -395,10 +408,10 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
     union = F.col("na") + F.col("nb") - F.col("common")
     near_sets = summed.filter(F.col("common") + 1e-9 >= threshold * union).select("a", "b", F.round(F.col("common") / union, 6).alias("jaccard"))
+    # the sets of near pairs are among the active ones, far fewer than all
     near_sets = cut(near_sets, "jaccard-near")
-    name = reps.select("sig", "rep")
-    near_docs = near_sets.join(name.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
-    near_docs = near_docs.filter("ra <> rb").groupBy(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    rep = lambda sig, doc: small(active.select(F.col("sig").alias(sig), F.col("doc_id").alias(doc)), held[0])
+    near_docs = near_sets.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
     return near_docs.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
