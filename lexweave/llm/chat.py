@@ -14,7 +14,8 @@ are mapped by ``ROLES``.
 
 Defined results: a record that is null, no JSON object, or of an unknown
 fingerprint gives one row with turn -1, its fingerprint and the reason in
-``status``; fields of null value count as absent; empty texts give no turn, and a
+``status``, as does one that is nested too deep to be read; half a surrogate pair
+becomes a question mark; fields of null value count as absent; empty texts give no turn, and a
 record without any text has the status ``empty``; unknown roles are kept in lower
 case; rows without id and repeated rows are converted each; an empty table gives
 an empty result; other columns are not read.
@@ -50,7 +51,7 @@ def paths(value: object, at: str = "") -> set[str]:
     if value is None:
         return set()
     if isinstance(value, dict):
-        out: set[str] = set() if at else set()
+        out: set[str] = set()
         for k, v in value.items():
             out |= paths(v, f"{at}.{k}" if at else k)
         return out or ({f"{at}:object"} if at else set())
@@ -64,7 +65,7 @@ def paths(value: object, at: str = "") -> set[str]:
 
 def fingerprint(names: set[str]) -> int:
     """Signed 64-bit hash of the sorted paths."""
-    h = xxhash.xxh64_intdigest("\n".join(sorted(names)).encode())
+    h = xxhash.xxh64_intdigest("\n".join(sorted(names)).encode("utf-8", "replace"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
@@ -129,18 +130,20 @@ def turns_of(record: dict, m: Mapping) -> list[tuple[str, str]]:
         listed = [(str(x.get(role) or "").lower(), x.get(text) or "") for x in _get(record, path) or () if isinstance(x, dict)]
     if m.pairs:
         listed = [("user" if i % 2 == 0 else "assistant", t or "") for pair in _get(record, m.pairs) or () for i, t in enumerate(pair or ())]
-    return [(ROLES.get(r, r), t) for r, t in (listed + fixed if m.pairs else fixed + listed) if t]
+    whole = lambda t: t.encode("utf-8", "replace").decode()
+    return [(whole(ROLES.get(r, r)), whole(t)) for r, t in (listed + fixed if m.pairs else fixed + listed) if t]
 
 
 def convert(text: str | None, known: dict[int, Mapping]) -> tuple[int | None, str | None, str, list[tuple[str, str]]]:
     """Fingerprint, layout, status and turns of one record."""
     try:
         record = json.loads(text) if text is not None else None
+        names = paths(record) if isinstance(record, dict) else None
     except (ValueError, RecursionError):
-        record = None
-    if not isinstance(record, dict):
+        names = None
+    if names is None:
         return None, None, "invalid", []
-    f = fingerprint(paths(record))
+    f = fingerprint(names)
     m = known.get(f)
     if m is None:
         return f, None, "unknown", []

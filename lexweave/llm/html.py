@@ -16,7 +16,7 @@ kind or by the end of their parent; unknown closing tags are ignored, and what
 stays open closes at the end.
 
 Defined results: a null or empty page, and one without text, gives an empty text
-and density 0; of elements with equal sums the first in document order is taken; a
+and density 0; where text is too short for any density above 0 the whole body is taken; of elements with equal sums the first in document order is taken; a
 page without body is its own body; pages without id and repeated rows are extracted each; an
 empty table gives an empty result; other columns are not read.
 """
@@ -161,10 +161,11 @@ def extract(page: str | None) -> tuple[str, str, float, float]:
     body = measure(nodes)
     best = body.best
     if not best.total:
-        return "", "", 0.0, 0.0
+        return (text_of({id(body)}, body), "body", 0.0, 0.0) if body.chars else ("", "", 0.0, 0.0)
     path, limit, up = [], best.density, best
-    while up is not None and up.parent is not None:
-        path.append(up.tag)
+    while up is not None:
+        if up.parent is not None:
+            path.append(up.tag)
         limit = min(limit, up.density)
         if up is body:
             break

@@ -11,8 +11,9 @@ pairs that the unit holds must reach MIN_SIMILARITY for the prediction to be
 
 Training is on the templates, varied by seeded edits, against units of the corpus
 and mixed-up templates as ``unknown``. Bounded on purpose, as a parameter: at most
-``max_unknown`` documents' units are drawn from the corpus, those with the smallest
-hash of their id. Every unit of every text is scanned.
+``max_unknown`` units are drawn from the corpus, those with the smallest hash of
+their document's id and their words, from anywhere in a text. Every unit of every
+text is scanned.
 
 Defined results: rows without id are left out; null and empty texts have no unit;
 repeated rows give their rows again; ties between families go to the first by
@@ -35,7 +36,7 @@ from lexweave.session import ship
 WINDOW = 60
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
-MAX_UNKNOWN = 400
+MAX_UNKNOWN = 2000
 SEED = 11
 
 TEMPLATES = {
@@ -229,6 +230,31 @@ def find(model: Model, texts: pa.Array) -> list[tuple[int, int, int, str, float,
     return out
 
 
+def _draw(most: int):
+    """A task's units with the smallest hashes, as many as all of them together give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = np.zeros(0, np.uint64), np.zeros(0, object)
+        for b in batches:
+            for i, j in slices(b.column(1), 2 << 20):
+                w = words(b.column(1)[i:j])
+                first, last, doc, _ = _units(w)
+                if not len(first):
+                    continue
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash)])
+                ids = b.column(0)[i:j].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[doc]
+                h = mix((total[last] - total[first]) ^ mix(ids + np.uint64(SEED))) >> np.uint64(1)
+                near = np.argsort(h, kind="stable")[:most]
+                text = [w.data[w.start[a] : w.end[z - 1]].tobytes().decode("utf-8", "replace") for a, z in zip(first[near].tolist(), last[near].tolist())]
+                h, text = np.concatenate([held, h[near]]), np.concatenate([names, np.array(text, object)])
+                best = np.argsort(h, kind="stable")[:most]
+                held, names = h[best], text[best]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(names.tolist(), pa.string())], ["h", "unit"])
+
+    return run
+
+
 def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,8 +270,7 @@ def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> DataFrame:
     """Rows (doc_id, line, word, family, probability, similarity, confirmed); line and word count from 0."""
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unknown)
-    drawn = rows.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("h"), F.explode(F.slice(F.split("text", "\n"), 1, 8)).alias("unit")).filter("unit <> ''").orderBy("h", "unit").select(F.substring("unit", 1, 600).alias("unit")).collect()
+    drawn = rows.mapInArrow(_draw(max_unknown), "h bigint, unit string").orderBy("h", "unit").limit(max_unknown).select("unit").collect()
     known = {k: [words(pa.array([t])) for t in ts] for k, ts in TEMPLATES.items()}
     unknown = []
     for r in drawn:

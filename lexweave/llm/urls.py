@@ -128,7 +128,10 @@ def build(entries: DataFrame) -> DigestArray:
     one = entries.toDF("entry").filter("entry is not null and entry <> ''").distinct().select(F.xxhash64("entry").alias("key"), "entry")
     # keys are compared as unsigned numbers; flipping the sign bit orders them so
     order = F.expr("key ^ cast(-9223372036854775808 as bigint)")
-    row = one.repartition(1).sortWithinPartitions(order, "entry").mapInArrow(_write(f"{shared_dir(spark)}/lexweave/digests-{uuid4().hex}"), "uri string, n bigint").collect()[0]
+    row = one.repartition(1).sortWithinPartitions(order, "entry").mapInArrow(_write(f"{shared_dir(spark)}/lexweave/digests-{uuid4().hex}"), "uri string, n bigint").collect()
+    if not row:
+        return DigestArray("", 0)  # a plan without rows may have no task at all
+    row = row[0]
     array = DigestArray(row.uri, row.n)
     if not row.uri.startswith("file:"):
         for name in ("keys", "offsets", "strings"):
