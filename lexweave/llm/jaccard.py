@@ -7,7 +7,9 @@ which is a pass or a shuffle of packed arrays:
 1. Signatures: equal n-gram sets collapse to one, whose smallest id stands for it.
 2. Shared share: a set can only be near another when ``threshold`` of its n-grams
    occur in other sets, too. The n-grams travel as short fingerprints; a chance
-   agreement can only let a set through that step 5 rejects.
+   agreement can only let a set through that step 5 rejects. The sets travel by
+   five bytes of their signatures: a pair would be lost only if these agree by
+   chance, once in 2**40 pairs.
 3. Global order: the n-grams of the remaining sets that occur in two of them or
    more are ordered by frequency class, then by key, rare ones first.
 4. Candidates: near sets share an n-gram early in that order (prefix and
@@ -45,7 +47,7 @@ from lexweave.session import cut, ship, small
 N = 5
 THRESHOLD = 0.4
 #: Entries that one fragment should hold; sets how many fragments there are.
-FRAGMENT = 750_000
+FRAGMENT = 1_500_000
 #: Pairs that are looked at in one go.
 CHUNK = 2_000_000
 TEXT_BYTES = 2 << 20
@@ -95,9 +97,50 @@ def _fragment_of(key: np.ndarray, fragments: int) -> np.ndarray:
     return ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
 
 
+LIGHT = "frag int, sigs binary, counts binary, keys binary"
+#: Bytes of a signature in the pass that looks for shared n-grams alone.
+SHORT = 5
 PACKED = "frag int, sigs binary, sizes binary, counts binary, keys binary"
 
 
+def _short(sig: np.ndarray) -> np.ndarray:
+    return sig & np.uint64((1 << 8 * SHORT) - 1)
+
+
+def _light(n: int, fragments: int, width: int):
+    """Each text's n-grams by fragment, as small as the first pass allows.
+
+    A row holds the sets of a slice that have some there, by the low bytes of
+    their signatures; more than 255 n-grams of a set are two entries or more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in _slices(b):
+                key, edge, sig = _signed(texts, n)
+                if not len(key):
+                    continue
+                size = np.diff(edge)
+                owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                frag = _fragment_of(key, fragments)
+                order = np.argsort(frag.astype(np.uint16) if fragments <= 65536 else frag, kind="stable")
+                frag, owner, key = frag[order], owner[order], key[order]
+                cuts = np.append(np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]), len(frag)).tolist()
+                rows: list[list] = [[], [], [], []]
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    own = owner[a:z]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    count = np.diff(np.append(first, z - a))
+                    times = -(-count // 255)
+                    who, part = np.repeat(own[first], times), np.full(times.sum(), 255)
+                    part[np.cumsum(times) - 1] = count - (times - 1) * 255
+                    for col, value in zip(rows, (int(frag[a]), _pack(sig[who], SHORT), part.astype(np.uint8).tobytes(), _pack(key[a:z], width))):
+                        col.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["frag", "sigs", "counts", "keys"])
+
+    return run
+
+
 def _scatter(n: int, fragments: int, width: int):
     """Each text's n-grams by fragment: a row holds the sets of a slice that have some there."""
 
@@ -129,10 +172,12 @@ def _gather(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray,
     """Of a whole partition: distinct signatures, their sizes, and distinct (key, signature index) sorted by key."""
     sigs, sizes, counts, keys = [], [], [], []
     for b in batches:
+        light = "sizes" not in b.schema.names
         for r in range(b.num_rows):
-            sigs.append(np.frombuffer(b.column("sigs")[r].as_buffer(), np.uint64))
-            sizes.append(np.frombuffer(b.column("sizes")[r].as_buffer(), np.uint32))
-            counts.append(np.frombuffer(b.column("counts")[r].as_buffer(), np.uint32))
+            raw = b.column("sigs")[r].as_buffer()
+            sigs.append(_unpack(raw, SHORT) if light else np.frombuffer(raw, np.uint64))
+            sizes.append(np.zeros(len(sigs[-1]), np.uint32) if light else np.frombuffer(b.column("sizes")[r].as_buffer(), np.uint32))
+            counts.append(np.frombuffer(b.column("counts")[r].as_buffer(), np.uint8 if light else np.uint32))
             keys.append(_unpack(b.column("keys")[r].as_buffer(), width))
     if not keys:
         return None
@@ -164,7 +209,7 @@ def _shared(width: int):
         known, _, key, owner = got
         n = np.bincount(owner[_frequency(key) > 1], minlength=len(known))
         some = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["sig", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["short", "shared"])
 
     return run
 
@@ -390,9 +435,10 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     equal = signed.select("sig", F.col("doc_id").alias("doc_b")).join(reps.select("sig", F.col("rep").alias("doc_a")), "sig").filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct()
     total = signed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     fragments, width = max(12, ceil(total / FRAGMENT)), _width(total)
-    shared = rows.mapInArrow(_scatter(n, fragments, width), PACKED).repartition(fragments, "frag").mapInArrow(_shared(width), "sig bigint, shared bigint")
-    shared = shared.groupBy("sig").agg(F.sum("shared").alias("shared"))
-    active = cut(reps.join(shared, "sig").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select(F.col("rep").alias("doc_id"), "sig", "size"), "jaccard-active")
+    shared = rows.mapInArrow(_light(n, fragments, width), LIGHT).repartition(fragments, "frag").mapInArrow(_shared(width), "short bigint, shared bigint")
+    shared = shared.groupBy("short").agg(F.sum("shared").alias("shared"))
+    short = F.col("sig").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("short")
+    active = cut(reps.select("*", short).join(shared, "short").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select(F.col("rep").alias("doc_id"), "sig", "size"), "jaccard-active")
     held = active.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = max(12, ceil(held[1] / FRAGMENT))
     some = rows.join(small(active.select("doc_id").distinct(), held[0]), "doc_id", "left_semi").select("doc_id", "text")
