@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._words import slices, words
+from lexweave.llm._words import lean, slices, words
 from lexweave.session import shared_dir, ship
 
 NGRAM = 13
@@ -78,7 +78,7 @@ def build(docs: DataFrame) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/lexweave/postings-{uuid4().hex}"
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    rows.mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lean(_index), INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -248,7 +248,7 @@ def match(index: DataFrame, items: DataFrame, ngram: int = NGRAM, share: float =
     out = None
     for k in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        found = index.mapInArrow(_search(_Items([r.item_id for r in rows], [r.text for r in rows]), ngram, share, slack, min_terms), MATCHES)
+        found = index.mapInArrow(lean(_search(_Items([r.item_id for r in rows], [r.text for r in rows]), ngram, share, slack, min_terms)), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._words import grams, mix, sets, slices, words
+from lexweave.llm._words import grams, lean, mix, sets, slices, words
 from lexweave.session import cut, ship, small
 
 N = 5
@@ -430,27 +430,27 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = cut(rows.mapInArrow(_signatures(n), "doc_id bigint, sig bigint, size bigint"), "jaccard-signed")
+    signed = cut(rows.mapInArrow(lean(_signatures(n)), "doc_id bigint, sig bigint, size bigint"), "jaccard-signed")
     reps = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"))
     equal = signed.select("sig", F.col("doc_id").alias("doc_b")).join(reps.select("sig", F.col("rep").alias("doc_a")), "sig").filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct()
     total = signed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     fragments, width = max(12, ceil(total / FRAGMENT)), _width(total)
-    shared = rows.mapInArrow(_light(n, fragments, width), LIGHT).repartition(fragments, "frag").mapInArrow(_shared(width), "short bigint, shared bigint")
+    shared = rows.mapInArrow(lean(_light(n, fragments, width)), LIGHT).repartition(fragments, "frag").mapInArrow(lean(_shared(width)), "short bigint, shared bigint")
     shared = shared.groupBy("short").agg(F.sum("shared").alias("shared"))
     short = F.col("sig").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("short")
     active = cut(reps.select("*", short).join(shared, "short").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select(F.col("rep").alias("doc_id"), "sig", "size"), "jaccard-active")
     held = active.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = max(12, ceil(held[1] / FRAGMENT))
     some = rows.join(small(active.select("doc_id").distinct(), held[0]), "doc_id", "left_semi").select("doc_id", "text")
-    segments = cut(some.mapInArrow(_scatter(n, parts, 8), PACKED).repartition(parts, "frag").mapInArrow(_segments(parts), SEGMENTS), "jaccard-segments")
+    segments = cut(some.mapInArrow(lean(_scatter(n, parts, 8)), PACKED).repartition(parts, "frag").mapInArrow(lean(_segments(parts)), SEGMENTS), "jaccard-segments")
     hist = [0] * 64
     for r in segments.select(F.posexplode("hist").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
         hist[r.k] = r.v
     cut_at, order_fragments = _cutter(hist, parts)
-    prefixes = segments.repartition(parts, "part").mapInArrow(_prefixes(threshold, cut_at), VERTICAL)
-    pairs = cut(prefixes.repartition(parts, "frag").mapInArrow(_candidates(threshold), PAIRS).distinct(), "jaccard-pairs")
-    vertical = segments.mapInArrow(_cut_segments(cut_at), VERTICAL).unionByName(pairs.mapInArrow(_spread_pairs(order_fragments), VERTICAL))
-    partial = vertical.repartition(parts, "frag").mapInArrow(_overlaps, PAIRS + ", common bigint")
+    prefixes = segments.repartition(parts, "part").mapInArrow(lean(_prefixes(threshold, cut_at)), VERTICAL)
+    pairs = cut(prefixes.repartition(parts, "frag").mapInArrow(lean(_candidates(threshold)), PAIRS).distinct(), "jaccard-pairs")
+    vertical = segments.mapInArrow(lean(_cut_segments(cut_at)), VERTICAL).unionByName(pairs.mapInArrow(lean(_spread_pairs(order_fragments)), VERTICAL))
+    partial = vertical.repartition(parts, "frag").mapInArrow(lean(_overlaps), PAIRS + ", common bigint")
     summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
     union = F.col("na") + F.col("nb") - F.col("common")
     near_sets = summed.filter(F.col("common") + 1e-9 >= threshold * union).select("a", "b", F.round(F.col("common") / union, 6).alias("jaccard"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._words import Words, mix, slices, words
+from lexweave.llm._words import Words, lean, mix, slices, words
 from lexweave.session import ship
 
 WINDOW = 60
@@ -270,14 +270,14 @@ def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> DataFrame:
     """Rows (doc_id, line, word, family, probability, similarity, confirmed); line and word count from 0."""
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    drawn = rows.mapInArrow(_draw(max_unknown), "h bigint, unit string").orderBy("h", "unit").limit(max_unknown).select("unit").collect()
+    drawn = rows.mapInArrow(lean(_draw(max_unknown)), "h bigint, unit string").orderBy("h", "unit").limit(max_unknown).select("unit").collect()
     known = {k: [words(pa.array([t])) for t in ts] for k, ts in TEMPLATES.items()}
     unknown = []
     for r in drawn:
         w = words(pa.array([r.unit]))
         if len(w.hash) and max(similarity(k, w, 0, len(w.hash)) for k in known) < 0.3:
             unknown.append(r.unit)
-    return rows.mapInArrow(_scan(train(unknown)), "doc_id bigint, line bigint, word bigint, family string, probability double, similarity double, confirmed boolean")
+    return rows.mapInArrow(lean(_scan(train(unknown))), "doc_id bigint, line bigint, word bigint, family string, probability double, similarity double, confirmed boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

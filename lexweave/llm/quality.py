@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexweave.llm._words import buffers, slices, words
+from lexweave.llm._words import buffers, slices, trim, words
 from lexweave.session import cut, ship
 
 MAX_LABELLED = 4000
@@ -58,6 +58,7 @@ def features(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), len(NAMES)))
     for i, j in slices(texts):
         out[i:j] = _features(texts[i:j])
+    trim()
     return out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm._words import slices, words
+from lexweave.llm._words import lean, slices, words
 from lexweave.session import ship
 
 K = 10
@@ -122,13 +122,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, max_query_words: int
         if not len(vocab):
             vocab = np.zeros(1, np.uint64)
         sparse = [(r.item_id, *np.unique(index[a:b], return_counts=True)) for r, a, b in zip(part, w.first[:-1], w.first[1:])]
-        counted = {r.term: r.n for r in rows.mapInArrow(_statistics(vocab), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        counted = {r.term: r.n for r in rows.mapInArrow(lean(_statistics(vocab)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         n, total = counted.pop(-1, 0), counted.pop(-2, 0)
         df = np.zeros(len(vocab))
         for t, c in counted.items():
             df[t] = c
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        found = rows.mapInArrow(_score(sparse, vocab, idf, max(total / max(n, 1), 1e-9), k), "row bigint, item_id bigint, doc_id bigint, score double").withColumn("pass", F.lit(p))
+        found = rows.mapInArrow(lean(_score(sparse, vocab, idf, max(total / max(n, 1), 1e-9), k)), "row bigint, item_id bigint, doc_id bigint, score double").withColumn("pass", F.lit(p))
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("pass", "row").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
