@@ -360,33 +360,58 @@ def _cut_segments(cut_at):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to runs of some ``rows``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _spread_pairs(fragments: int):
     """The candidates go to every fragment, packed.
 
     A row holds the distinct sets of a run of pairs once, with their sizes, and
-    the pairs as places in that list: some four bytes a pair.
+    the pairs as steps from place to place in that list. Pairs come in order of
+    their first set, so that the steps within a group of near copies are small
+    and the shuffle's compression leaves little of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1 << 14):
-                a, b, na, nb = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 1 << 14).columns)
-                known, first, place = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
-                size = np.r_[na, nb][first]
-                x, y = place[: len(a)], place[len(a) :]
-                order = np.lexsort((y, x))
-                x, y = x[order].astype(np.uint16), y[order].astype(np.uint16)
-                raw = [known.tobytes(), size.astype(np.uint32).tobytes(), x.tobytes(), y.tobytes()]
-                for f in range(fragments):
-                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([1], pa.int32()), *[pa.array([v], pa.binary()) for v in raw]], _VERTICAL)
+        for batch in _runs(batches, 1 << 16):
+            if not batch.num_rows:
+                continue
+            a, b, na, nb = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            known, first, place = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
+            size = np.r_[na, nb][first]
+            x, y = place[: len(a)], place[len(a) :]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+            new = np.r_[True, dx[1:] > 0]
+            dy[new] = y[new]
+            raw = [known.tobytes(), size.astype(np.uint32).tobytes(), dx.astype(np.uint32).tobytes(), dy.astype(np.uint32).tobytes()]
+            for f in range(fragments):
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([1], pa.int32()), *[pa.array([v], pa.binary()) for v in raw]], _VERTICAL)
 
     return run
 
 
+def _places(dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of both sets of the pairs from their steps."""
+    x, run = np.cumsum(dx, dtype=np.int64), np.cumsum(dy, dtype=np.int64)
+    start = np.flatnonzero(np.r_[True, dx[1:] > 0])
+    return x, run - np.repeat(run[start] - dy[start], np.diff(np.append(start, len(dx))))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of the candidates in each fragment of the partition."""
     held: dict[int, tuple[list, list]] = {}
-    kinds = ((np.int64, np.int64), (np.int64, np.uint32, np.uint16, np.uint16))
+    kinds = ((np.int64, np.int64), (np.int64, np.uint32, np.uint32, np.uint32))
     for b in batches:
         role = b.column("role").to_pylist()
         for r, f in enumerate(b.column("frag").to_pylist()):
@@ -400,7 +425,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = len(keys)
         slot = np.sort(owner * wide + rank)
         edge = np.searchsorted(slot, np.arange(len(known) + 1) * wide)
-        for names, size, x, y in pairs:
+        for names, size, dx, dy in pairs:
+            x, y = _places(dx, dy)
             at = np.searchsorted(known, names)
             at[at == len(known)] = 0
             there = known[at] == names
@@ -448,7 +474,7 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
         hist[r.k] = r.v
     cut_at, order_fragments = _cutter(hist, parts)
     prefixes = segments.repartition(parts, "part").mapInArrow(lean(_prefixes(threshold, cut_at)), VERTICAL)
-    pairs = cut(prefixes.repartition(parts, "frag").mapInArrow(lean(_candidates(threshold)), PAIRS).distinct(), "jaccard-pairs")
+    pairs = cut(prefixes.repartition(parts, "frag").mapInArrow(lean(_candidates(threshold)), PAIRS).repartition("a").distinct().sortWithinPartitions("a", "b"), "jaccard-pairs")
     vertical = segments.mapInArrow(lean(_cut_segments(cut_at)), VERTICAL).unionByName(pairs.mapInArrow(lean(_spread_pairs(order_fragments)), VERTICAL))
     partial = vertical.repartition(parts, "frag").mapInArrow(lean(_overlaps), PAIRS + ", common bigint")
     summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
