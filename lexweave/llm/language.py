@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexweave.llm._words import buffers, slices
+from lexweave.llm._words import buffers, lean, slices, trim
 from lexweave.session import cut, ship, small
 
 MAX_LABELLED = 1000
@@ -107,6 +107,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t.tobytes() for t in total.values()])], ["lang", "counts"])
 
 
+VERDICT = "struct<lang:string,confidence:double,accepted:boolean>"
+
+
 class Model:
     """Trigram tables of the known languages, ``usual`` nats a trigram, and the evidence tables."""
 
@@ -115,51 +118,73 @@ class Model:
         self.evidence: dict[str, DataFrame] = {}
         self.rows: dict[str, int] = {}
 
+    def _score(self, t: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tempered log likelihoods, trigrams, and whether the text is like some known language."""
+        ll, n = likelihoods(t, self.tables)
+        if len(self.langs):
+            near = (n < LONG) | ((ll / np.maximum(n, 1)[:, None]) >= self.usual - UNLIKE).any(1)
+        else:
+            near = np.ones(len(n), bool)
+        return np.round(ll / 3 * np.minimum(1, EFFECTIVE / np.maximum(n, 1))[:, None], 6), n, near
+
+    def _fuse(self, total: np.ndarray, n: np.ndarray, near: np.ndarray, logs: tuple[pa.Array, ...]) -> pa.Array:
+        langs, names = self.langs, ["lang", "confidence", "accepted"]
+        if not langs:
+            return pa.StructArray.from_arrays([pa.array(["und"] * len(n), pa.string()), pa.array(np.zeros(len(n))), pa.array(n > 0)], names)
+        total = total.copy()
+        for r in logs:
+            known = ~np.asarray(r.is_null())
+            if known.any():
+                total[known] += r.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+        total -= total.max(1, keepdims=True)
+        p = np.exp(total)
+        p /= p.sum(1, keepdims=True)
+        best = np.array(langs, object)[p.argmax(1)]
+        sure = np.round(p.max(1), 6)
+        ok = (n > 0) & near & (sure >= MIN_CONFIDENCE)
+        best[~ok] = "und"
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(sure), pa.array(ok)], names)
+
+    def plain(self) -> Model:
+        """The model without its evidence tables, as workers get it."""
+        return Model(self.langs, self.tables, self.usual)
+
     def column(self, text: Column) -> Column:
         """Struct (ll: tempered log likelihoods, n: trigrams, near: like some known language)."""
-        tables, usual = self.tables, self.usual
+        model, k = self.plain(), len(self.langs)
 
         @arrow_udf("struct<ll:array<double>,n:bigint,near:boolean>")
         def score(t: pa.Array) -> pa.Array:
-            ll, n = likelihoods(t, tables)
-            k = ll.shape[1]
-            if k:
-                near = (n < LONG) | ((ll / np.maximum(n, 1)[:, None]) >= usual - UNLIKE).any(1)
-            else:
-                near = np.ones(len(n), bool)
-            ll = np.round(ll / 3 * np.minimum(1, EFFECTIVE / np.maximum(n, 1))[:, None], 6)
+            ll, n, near = model._score(t)
             lists = pa.ListArray.from_arrays(np.arange(0, len(n) * k + 1, k, dtype=np.int32) if k else np.zeros(len(n) + 1, np.int32), pa.array(ll.ravel()))
+            trim()
             return pa.StructArray.from_arrays([lists, pa.array(n.astype(np.int64)), pa.array(near)], ["ll", "n", "near"])
 
         return score(text)
 
     def verdict(self, scored: Column, *more: Column) -> Column:
         """Struct (lang, confidence, accepted) from the text's struct and log evidence arrays that may be null."""
-        langs = self.langs
+        model = self.plain()
 
-        @arrow_udf("struct<lang:string,confidence:double,accepted:boolean>")
+        @arrow_udf(VERDICT)
         def fuse(s: pa.Array, *rest: pa.Array) -> pa.Array:
-            m = len(s)
-            n, near = s.field("n").to_numpy(zero_copy_only=False), s.field("near").to_numpy(zero_copy_only=False).astype(bool)
-            if not langs:
-                best, sure, ok = np.full(m, "und", object), np.zeros(m), n > 0
-                return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(sure), pa.array(ok)], ["lang", "confidence", "accepted"])
-            total = s.field("ll").flatten().to_numpy(zero_copy_only=False).reshape(m, len(langs)).copy()
-            for r in rest:
-                known = ~np.asarray(r.is_null())
-                if known.any():
-                    total[known] += r.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
-            total -= total.max(1, keepdims=True)
-            p = np.exp(total)
-            p /= p.sum(1, keepdims=True)
-            best = np.array(langs, object)[p.argmax(1)]
-            sure = np.round(p.max(1), 6)
-            ok = (n > 0) & near & (sure >= MIN_CONFIDENCE)
-            best[~ok] = "und"
-            return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(sure), pa.array(ok)], ["lang", "confidence", "accepted"])
+            ll = s.field("ll").flatten().to_numpy(zero_copy_only=False).reshape(len(s), len(model.langs))
+            return model._fuse(ll, s.field("n").to_numpy(zero_copy_only=False), s.field("near").to_numpy(zero_copy_only=False).astype(bool), rest)
 
         return fuse(scored, *more)
 
+    def verdict_of(self, text: Column, *more: Column) -> Column:
+        """The same from the text itself, in one call."""
+        model = self.plain()
+
+        @arrow_udf(VERDICT)
+        def both(t: pa.Array, *rest: pa.Array) -> pa.Array:
+            out = model._fuse(*model._score(t), rest)
+            trim()
+            return out
+
+        return both(text, *more)
+
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """The trigram model from rows (id, lang, text)."""
@@ -169,7 +194,7 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     ids = labelled.filter("lang is not null and id is not null").select("id", "lang").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= max_labelled).select("id", "lang")
     ids = cut(ids, "language-sample")
     some = labelled.join(small(ids, ids.count(), 500_000), ["id", "lang"]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    rows = some.repartition(8).mapInArrow(_counts, "lang string, counts binary").collect()
+    rows = some.repartition(8).mapInArrow(lean(_counts), "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in rows:
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(bytes(r.counts), np.int64)
@@ -218,13 +243,13 @@ def gather(model: Model, rows: DataFrame) -> None:
 
 
 def judge(model: Model, rows: DataFrame) -> DataFrame:
-    """Adds the struct ``verdict`` to rows (declared, suffix, host, scored, ...)."""
+    """Adds the struct ``verdict`` to rows (declared, suffix, host, ...) with their text's struct ``scored``, or the text in ``row.text``."""
     logs = []
     for key in ("declared", "suffix", "host"):
         if key in model.evidence:
             rows = rows.join(small(model.evidence[key], model.rows[key]), key, "left")
             logs.append(F.col(f"{key}_log"))
-    return rows.withColumn("verdict", model.verdict(F.col("scored"), *logs))
+    return rows.withColumn("verdict", model.verdict(F.col("scored"), *logs) if "scored" in rows.columns else model.verdict_of(F.col("row.text"), *logs))
 
 
 def _code(c: Column) -> Column:
@@ -257,7 +282,7 @@ def keep(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The documents that are accepted, with the columns they came with."""
     model = train(_labelled(docs), max_labelled)
     gather(model, cut(of_documents(docs, model), "language-scores"))
-    keys = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _code(docs["lang"]).alias("declared"), *_host_parts(docs["source"]), model.column(docs["text"]).alias("scored"))
+    keys = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _code(docs["lang"]).alias("declared"), *_host_parts(docs["source"]))
     return judge(model, keys).filter("verdict.accepted").select("row.*")
 
 
