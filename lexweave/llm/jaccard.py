@@ -46,10 +46,11 @@ from lexweave.session import cut, ship, small
 
 N = 5
 THRESHOLD = 0.4
-#: Entries that one fragment should hold; sets how many fragments there are.
+#: Entries that one fragment should hold in the first pass and in the later ones; sets how many fragments there are.
 FRAGMENT = 1_500_000
+PART = 750_000
 #: Pairs that are looked at in one go.
-CHUNK = 2_000_000
+CHUNK = 500_000
 TEXT_BYTES = 2 << 20
 
 
@@ -181,13 +182,21 @@ def _gather(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray,
             keys.append(_unpack(b.column("keys")[r].as_buffer(), width))
     if not keys:
         return None
-    sig, size, count, key = (np.concatenate(x) for x in (sigs, sizes, counts, keys))
+    key = np.concatenate(keys)
+    del keys
+    sig, size, count = (np.concatenate(x) for x in (sigs, sizes, counts))
     known, first, index = np.unique(sig, return_index=True, return_inverse=True)
-    owner = np.repeat(index, count)
+    owner = np.repeat(index.astype(np.int32), count)
     bits = max(1, int(len(known) - 1).bit_length())
     if 8 * width + bits <= 64:
-        both = np.unique((key << np.uint64(bits)) | owner.astype(np.uint64))
-        return known, size[first], both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        # in place, as this is the largest array of the task
+        key <<= np.uint64(bits)
+        key |= owner.view(np.uint32)
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        owner = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+        key >>= np.uint64(bits)
+        return known, size[first], key, owner
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
@@ -466,7 +475,7 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     short = F.col("sig").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("short")
     active = cut(reps.select("*", short).join(shared, "short").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select(F.col("rep").alias("doc_id"), "sig", "size"), "jaccard-active")
     held = active.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = max(12, ceil(held[1] / FRAGMENT))
+    parts = max(12, ceil(held[1] / PART))
     some = rows.join(small(active.select("doc_id").distinct(), held[0]), "doc_id", "left_semi").select("doc_id", "text")
     segments = cut(some.mapInArrow(lean(_scatter(n, parts, 8)), PACKED).repartition(parts, "frag").mapInArrow(lean(_segments(parts)), SEGMENTS), "jaccard-segments")
     hist = [0] * 64
