@@ -19,7 +19,7 @@ untouched, whatever their names.
 
 Bounded on purpose, as a parameter: at most ``max_labelled`` labelled documents
 of each class are fitted on (those with the smallest hash of their id). Features,
-scores and the quantile cover every document.
+scores and the quantile cover every document, the guard every labelled good one.
 """
 
 from __future__ import annotations
@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, gu
     scores = table.select("doc_id", score("f").alias("score"))
     if len(good) and len(bad):
         level = shares[0] / (shares[0] + shares[1])
-        cutoff = scores.agg(F.percentile_approx("score", F.lit(level), F.lit(ACCURACY))).first()[0]
-        model.threshold = float(min(cutoff, np.quantile(model.of(good), guard)))
+        quantile = lambda rows, q: rows.agg(F.percentile_approx(score("f"), F.lit(q), F.lit(ACCURACY))).first()[0]
+        model.threshold = float(min(quantile(table, level), quantile(labelled.filter("quality = 1"), guard)))
     return model, scores
 
 

@@ -52,6 +52,15 @@ def test_query_equals_a_direct_computation(spark, sf_dir):
     assert (rows.kept == (rows.score >= model.threshold)).all()
 
 
+def test_the_guard_covers_all_labelled_good_documents(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed = labels.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "toxic")  # classes that overlap: the guard is the smaller value
+    model, scores = quality.fit(docs, mixed, max_labelled=8, guard=0.2)
+    good = sorted(r.score for r in scores.join(mixed.filter("quality = 1").select("doc_id"), "doc_id").collect())
+    assert len(good) > 20
+    assert model.threshold == good[int(np.ceil(0.2 * len(good))) - 1]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "good text here", 5), (1, "good text here", 5), (2, None, 6), (3, "", 7), (None, "$$ || 00", 8)], "doc_id long, text string, score int")
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality long, toxic long")
