@@ -1,7 +1,10 @@
 """License scans with a trained paragraph classifier.
 
-A unit is a line of a text, or, of a line above ``WINDOW`` words, each window of
-that many words at half that stride. Multinomial logistic regression over sparse
+A unit is a line of a text or a paragraph of several lines, up to a blank one; of
+those above ``WINDOW`` words, each window of that many words at half that stride.
+A paragraph tells of a family what its lines don't: where a line in it has a row of
+the family, it has one only if its other words are confirmed. Its row names the
+line and word where the unit begins. Multinomial logistic regression over sparse
 word 1-, 2- and 3-grams gives each unit a probability for each licence family and
 for ``unknown``; a temperature fitted on held-out units calibrates them, so that
 ``unknown`` is as probable as it says. Where a family wins with MIN_PROBABILITY,
@@ -23,7 +26,9 @@ name; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,24 +66,35 @@ AROUND = "copyright c 2019 2021 2023 the authors and contributors see file for d
 LOOKALIKES = ["The driver must carry a valid license at all times.", "The license of the restaurant was renewed last year.", "Public transport is free of charge on Sunday.", "He reserved the rights to the film in version two.", "The software is distributed to any person in the office.", "General terms of the public contract were published.", "All seats are reserved.", "A copy of the report is available under the heading notes.", "Version 2.0 of the program was released in April.", "The apache helicopter and the creative director of the commons."]
 
 
+def _windows(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and last word + 1 of the windows over each run of words; new: where a run begins."""
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(new))
+    half = WINDOW // 2
+    n = np.where(z - a <= WINDOW, 1, -(-(z - a - WINDOW) // half) + 1)
+    first = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * half
+    return first, np.minimum(first + WINDOW, np.repeat(z, n))
+
+
 def _units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First word, last word + 1, text and line number of each unit of the batch."""
     breaks = np.flatnonzero(w.data == 10)
     line = np.searchsorted(breaks, w.start)
-    m = len(w.hash)
-    if not m:
+    if not len(w.hash):
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    new = np.r_[True, (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])]
-    a = np.flatnonzero(new)
-    z = np.append(a[1:], m)
-    half = WINDOW // 2
-    n = np.where(z - a <= WINDOW, 1, -(-(z - a - WINDOW) // half) + 1)
-    first = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * half
-    last = np.minimum(first + WINDOW, np.repeat(z, n))
+    inked = np.concatenate([np.zeros(1, np.int64), np.cumsum(w.data > 32)])
+    blank = inked[np.append(breaks, len(w.data))] == inked[np.append(0, breaks + 1)]
+    paragraph = np.cumsum(blank)[line]
+    other = w.doc[1:] != w.doc[:-1]
+    first, last = _windows(np.r_[True, (line[1:] != line[:-1]) | other])
+    a, z = _windows(np.r_[True, (paragraph[1:] != paragraph[:-1]) | other])
+    over = line[a] < line[z - 1]
+    first, last = np.concatenate([first, a[over]]), np.concatenate([last, z[over]])
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
     doc = w.doc[first]
-    number = np.repeat(line[a], n) - np.searchsorted(breaks, w.offsets[doc])
-    return first, last, doc, number
+    return first, last, doc, line[first] - np.searchsorted(breaks, w.offsets[doc])
 
 
 def _keys(w: Words) -> list[np.ndarray]:
@@ -128,20 +144,26 @@ class Model:
         return s / s.sum(1, keepdims=True)
 
 
-def _pairs(w: Words, a: int, z: int) -> set[int]:
+def _pairs(w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> set[int]:
+    """Keys of the word pairs from a to z but those inside the units told."""
     h = w.hash[a:z]
-    return set(mix(h[:-1] * np.uint64(3) + h[1:]).tolist()) if len(h) > 1 else set(h.tolist())
+    if len(h) < 2:
+        return set(h.tolist())
+    left = np.ones(len(h) - 1, bool)
+    for b, e in told:
+        left[max(b - a, 0) : max(e - 1 - a, 0)] = False
+    return set(mix(h[:-1] * np.uint64(3) + h[1:])[left].tolist())
 
 
 _templates: dict[str, list[set[int]]] = {}
 
 
-def similarity(family: str, w: Words, a: int, z: int) -> float:
-    """Best share of a template's word pairs that the unit holds."""
+def similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
+    """Best share of a template's word pairs that the unit holds outside the units told."""
     if family not in _templates:
         t = [words(pa.array([x])) for x in TEMPLATES[family]]
         _templates[family] = [_pairs(x, 0, len(x.hash)) for x in t]
-    mine = _pairs(w, a, z)
+    mine = _pairs(w, a, z, told)
     return max(len(t & mine) / len(t) for t in _templates[family])
 
 
@@ -224,9 +246,24 @@ def find(model: Model, texts: pa.Array) -> list[tuple[int, int, int, str, float,
             continue
         p = model.probabilities(model.scores(w, first, last))
         best = p.argmax(1)
-        for u in np.flatnonzero((best < p.shape[1] - 1) & (p.max(1) >= MIN_PROBABILITY)).tolist():
-            family, a = model.names[best[u]], int(first[u])
-            out.append((int(doc[u]) + i, int(number[u]), a - int(w.first[doc[u]]), family, round(float(p[u].max()), 6), round(similarity(family, w, a, int(last[u])), 6)))
+        line = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
+        over = line[first] < line[last - 1]
+        won = np.flatnonzero((best < p.shape[1] - 1) & (p.max(1) >= MIN_PROBABILITY))
+        told: dict[str, list[tuple[int, int, bool]]] = defaultdict(list)
+        rows = []
+        for u in [*won[~over[won]].tolist(), *won[over[won]].tolist()]:
+            family, a, z = model.names[best[u]], int(first[u]), int(last[u])
+            if not over[u]:
+                s = similarity(family, w, a, z)
+                told[family].append((a, z, s >= MIN_SIMILARITY))
+            else:
+                t = told[family]
+                within = [x for x in t[bisect_left(t, (a - WINDOW,)) : bisect_left(t, (z,))] if x[1] > a]
+                s = similarity(family, w, a, z, [x[:2] for x in within if x[2]])
+                if within and s < MIN_SIMILARITY:
+                    continue
+            rows.append((u, (int(doc[u]) + i, int(number[u]), a - int(w.first[doc[u]]), family, round(float(p[u].max()), 6), round(s, 6))))
+        out += [r for _, r in sorted(rows)]
     return out
 
 

@@ -76,6 +76,31 @@ def test_scores_equal_a_plain_sum(model):
         assert got[u] == pytest.approx(want)
 
 
+def confirmed(model, text):
+    return [(f[1], f[3]) for f in licenses.find(model, pa.array([text])) if f[5] >= licenses.MIN_SIMILARITY]
+
+
+def test_notices_wrapped_at_every_word(model):
+    rng = random.Random(8)
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            w = t.split()
+            assert (0, family) in confirmed(model, t)
+            wraps = [["\n".join([" ".join(w[:i]), " ".join(w[i:])])] for i in range(1, len(w))]
+            for (wrapped,) in [*wraps, ["\n# ".join(w)], ["\r\n".join(w)], [" \n * ".join(w)]]:
+                assert family in {f for _, f in confirmed(model, wrapped)}, wrapped
+                around = f"{filler(rng, 9)}\n\n{filler(rng, 12)}\n \n{wrapped}\n\t\n{filler(rng, 9)}"
+                assert family in {f for _, f in confirmed(model, around)}, around
+
+
+def test_a_paragraph_repeats_no_line_and_ends_at_blank_ones(model):
+    notice = "Licensed under the MIT License."
+    assert confirmed(model, f"{FILLER[1]}\n{notice}\n{FILLER[2]}") == [(1, "mit")]
+    assert confirmed(model, "Licensed under\n\nthe MIT\n \t\nLicense.") == []
+    assert confirmed(model, f"{notice}\n{FILLER[1]}\nLicensed under the\nMIT License.") == [(0, "mit"), (0, "mit")]
+    assert ("mit" in {f for _, f in confirmed(model, "\n".join([filler(random.Random(3), 8)] * 20 + ["Released under the", "MIT License."]))})
+
+
 def test_query_finds_planted_lines_and_leaves_the_rest(spark, sf_dir):
     found = licenses.query(spark, sf_dir).filter("confirmed").collect()
     assert found
