@@ -255,6 +255,7 @@ for _name, _plan, _log, _sql in (
     ("multi_layered_or", pruning.multi_or, _long, _or_sql(_LONG)),
     ("multi_layered_max_score", pruning.multi_max_score, _long, _or_sql(_LONG)),
     ("layered_taat", pruning.layered_taat, _short, _or_sql(_SHORT)),
+    ("layered_taat_long", pruning.layered_taat, _long, _or_sql(_LONG)),
     ("dual_layered_and", pruning.dual_and, _short, _and_sql(_SHORT)),
     ("dual_layered_merge_and", pruning.dual_merge_and, _short, _and_sql(_SHORT)),
 ):
@@ -291,10 +292,16 @@ def _(spark, d):
     return search.top_positions(_part(spark, d, t, positions=True), t)
 
 
-@query("union_docids", f"WITH {_TOK}, {_SHORT}, {_QT} SELECT DISTINCT qid, doc_id FROM qt JOIN post USING (term)")
-def _(spark, d):
-    t = search.query_terms(_short(spark, d))
-    return search.union_docids(_part(spark, d, t), t)
+def _union(log: Callable) -> Callable:
+    def run(spark, d):
+        t = search.query_terms(log(spark, d))
+        return search.union_docids(_part(spark, d, t), t)
+
+    return run
+
+
+for _name, _log, _sql in (("union_docids", _short, _SHORT), ("union_docids_long", _long, _LONG)):
+    query(_name, f"WITH {_TOK}, {_sql}, {_QT} SELECT DISTINCT qid, doc_id FROM qt JOIN post USING (term)")(_union(_log))
 
 
 @query("intersect_docids", f"WITH {_TOK}, {_SHORT}, {_QT} SELECT qid, doc_id FROM qt JOIN post USING (term) GROUP BY qid, doc_id HAVING count(*) = any_value(n_terms)")
@@ -415,23 +422,35 @@ def _seeks(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().crossJoin(F.broadcast(last)).select("term", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i"), "m").select("term", F.floor(F.col("m") * F.col("i") / 10.0).cast("bigint").alias("target")).distinct()
 
 
-@query("next_geq", f"WITH {_TOK}, {_SHORT}, {_QT}, {_SEEK} SELECT term, target, (SELECT min(doc_id) FROM post p WHERE p.term = sk.term AND p.doc_id >= target) AS doc_id FROM sk")
-def _(spark, d):
-    t = search.query_terms(_short(spark, d))
-    return chunks.next_geq(_part(spark, d, t).postings, _seeks(spark, d, t))
+def _next_geq(log: Callable) -> Callable:
+    def run(spark, d):
+        t = search.query_terms(log(spark, d))
+        return chunks.next_geq(_part(spark, d, t).postings, _seeks(spark, d, t))
 
+    return run
 
-@query("next_greater_chunk_score", f"WITH {_TOK}, {_CHUNKS}, {_SHORT}, {_QT}, {_SEEK} SELECT term, target, CAST(0.5 AS DOUBLE) AS bound, (SELECT min(first_doc) FROM ck WHERE ck.term = sk.term AND first_doc > target AND max_score > 0.5) AS doc_id FROM sk")
-def _(spark, d):
-    t = search.query_terms(_short(spark, d))
-    stats = chunks.chunk_stats(_part(spark, d, t).scored())
-    return chunks.next_greater_chunk(stats, _seeks(spark, d, t).withColumn("bound", F.lit(0.5)))
 
+def _next_greater_chunk(log: Callable) -> Callable:
+    def run(spark, d):
+        t = search.query_terms(log(spark, d))
+        stats = chunks.chunk_stats(_part(spark, d, t).scored())
+        return chunks.next_greater_chunk(stats, _seeks(spark, d, t).withColumn("bound", F.lit(0.5)))
 
-@query("chunk_score_bound", f"WITH {_TOK}, {_CHUNKS}, {_SHORT}, {_QT}, {_SEEK} SELECT term, target, round(max_score, 6) AS max_score FROM sk JOIN ck USING (term) WHERE target BETWEEN first_doc AND last_doc")
-def _(spark, d):
-    t = search.query_terms(_short(spark, d))
-    return _rounded(chunks.score_bounds(chunks.chunk_stats(_part(spark, d, t).scored()), _seeks(spark, d, t)))
+    return run
+
+
+def _score_bound(log: Callable) -> Callable:
+    def run(spark, d):
+        t = search.query_terms(log(spark, d))
+        return _rounded(chunks.score_bounds(chunks.chunk_stats(_part(spark, d, t).scored()), _seeks(spark, d, t)))
+
+    return run
+
+
+for _suffix, _log, _sql in (("", _short, _SHORT), ("_long", _long, _LONG)):
+    query(f"next_geq{_suffix}", f"WITH {_TOK}, {_sql}, {_QT}, {_SEEK} SELECT term, target, (SELECT min(doc_id) FROM post p WHERE p.term = sk.term AND p.doc_id >= target) AS doc_id FROM sk")(_next_geq(_log))
+    query(f"next_greater_chunk_score{_suffix}", f"WITH {_TOK}, {_CHUNKS}, {_sql}, {_QT}, {_SEEK} SELECT term, target, CAST(0.5 AS DOUBLE) AS bound, (SELECT min(first_doc) FROM ck WHERE ck.term = sk.term AND first_doc > target AND max_score > 0.5) AS doc_id FROM sk")(_next_greater_chunk(_log))
+    query(f"chunk_score_bound{_suffix}", f"WITH {_TOK}, {_CHUNKS}, {_sql}, {_QT}, {_SEEK} SELECT term, target, round(max_score, 6) AS max_score FROM sk JOIN ck USING (term) WHERE target BETWEEN first_doc AND last_doc")(_score_bound(_log))
 
 
 # --- transformations -----------------------------------------------------------------
