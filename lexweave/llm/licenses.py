@@ -10,7 +10,8 @@ for ``unknown``; a temperature fitted on held-out units calibrates them, so that
 ``unknown`` is as probable as it says. Where a family wins with MIN_PROBABILITY,
 the unit is compared with the family's templates: the share of a template's word
 pairs that the unit holds must reach MIN_SIMILARITY for the prediction to be
-``confirmed``.
+``confirmed``. Any other family more probable than ``unknown`` has a row too where
+it is confirmed, also by the pairs that only its templates have.
 
 Training is on the templates, varied by seeded edits, against units of the corpus
 and mixed-up templates as ``unknown``. Bounded on purpose, as a parameter: at most
@@ -158,13 +159,24 @@ def _pairs(w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> se
 _templates: dict[str, list[set[int]]] = {}
 
 
-def similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
-    """Best share of a template's word pairs that the unit holds outside the units told."""
+def _of(family: str) -> list[set[int]]:
     if family not in _templates:
         t = [words(pa.array([x])) for x in TEMPLATES[family]]
         _templates[family] = [_pairs(x, 0, len(x.hash)) for x in t]
+    return _templates[family]
+
+
+def similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
+    """Best share of a template's word pairs that the unit holds outside the units told."""
     mine = _pairs(w, a, z, told)
-    return max(len(t & mine) / len(t) for t in _templates[family])
+    return max(len(t & mine) / len(t) for t in _of(family))
+
+
+def own_similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
+    """The same over templates of whose pairs that no other family has, too, the unit holds the share MIN_SIMILARITY; else 0."""
+    mine = _pairs(w, a, z, told)
+    others = set().union(*(t for k in TEMPLATES if k != family for t in _of(k)))
+    return max((len(t & mine) / len(t) for t in _of(family) if (own := t - others) and len(own & mine) >= MIN_SIMILARITY * len(own)), default=0.0)
 
 
 def examples(unknown: list[str], seed: int = SEED, each: int = 60) -> list[tuple[str, str]]:
@@ -237,7 +249,7 @@ def train(unknown: list[str], rounds: int = 300) -> Model:
 
 
 def find(model: Model, texts: pa.Array) -> list[tuple[int, int, int, str, float, float]]:
-    """(text, line, words before the unit, family, probability, similarity) of the units that a family wins."""
+    """(text, line, words before the unit, family, probability, similarity) of the units that a family wins, and of the other families confirmed there."""
     out = []
     for i, j in slices(texts, 2 << 20):
         w = words(texts[i:j])
@@ -246,23 +258,23 @@ def find(model: Model, texts: pa.Array) -> list[tuple[int, int, int, str, float,
             continue
         p = model.probabilities(model.scores(w, first, last))
         best = p.argmax(1)
+        wins = p.max(1) >= MIN_PROBABILITY
         line = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
         over = line[first] < line[last - 1]
-        won = np.flatnonzero((best < p.shape[1] - 1) & (p.max(1) >= MIN_PROBABILITY))
+        units, families = np.nonzero(p[:, :-1] > p[:, -1:])
+        order = np.argsort(over[units], kind="stable")
         told: dict[str, list[tuple[int, int, bool]]] = defaultdict(list)
         rows = []
-        for u in [*won[~over[won]].tolist(), *won[over[won]].tolist()]:
-            family, a, z = model.names[best[u]], int(first[u]), int(last[u])
+        for u, f in zip(units[order].tolist(), families[order].tolist()):
+            family, a, z, first_choice = model.names[f], int(first[u]), int(last[u]), bool(wins[u] and best[u] == f)
+            t = told[family]
+            within = [x for x in t[bisect_left(t, (a - WINDOW,)) : bisect_left(t, (z,))] if x[1] > a] if over[u] else []
+            s = (similarity if first_choice else own_similarity)(family, w, a, z, [x[:2] for x in within if x[2]])
+            if s < MIN_SIMILARITY and (within or not first_choice):
+                continue
             if not over[u]:
-                s = similarity(family, w, a, z)
-                told[family].append((a, z, s >= MIN_SIMILARITY))
-            else:
-                t = told[family]
-                within = [x for x in t[bisect_left(t, (a - WINDOW,)) : bisect_left(t, (z,))] if x[1] > a]
-                s = similarity(family, w, a, z, [x[:2] for x in within if x[2]])
-                if within and s < MIN_SIMILARITY:
-                    continue
-            rows.append((u, (int(doc[u]) + i, int(number[u]), a - int(w.first[doc[u]]), family, round(float(p[u].max()), 6), round(s, 6))))
+                t.append((a, z, s >= MIN_SIMILARITY))
+            rows.append((u, (int(doc[u]) + i, int(number[u]), a - int(w.first[doc[u]]), family, round(float(p[u, f]), 6), round(s, 6))))
         out += [r for _, r in sorted(rows)]
     return out
 

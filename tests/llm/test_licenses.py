@@ -101,6 +101,20 @@ def test_a_paragraph_repeats_no_line_and_ends_at_blank_ones(model):
     assert ("mit" in {f for _, f in confirmed(model, "\n".join([filler(random.Random(3), 8)] * 20 + ["Released under the", "MIT License."]))})
 
 
+def test_every_licence_of_a_unit_is_named(model):
+    for a, b, text in (
+        ("apache", "mit", "Licensed under the MIT License or the Apache License, Version 2.0."),
+        ("gpl", "mit", "Released under the MIT License. Licensed under the GNU General Public License, version 2 or later."),
+        ("bsd", "mpl", "Released under the 3-Clause BSD License. Licensed under the Mozilla Public License, version 2.0."),
+    ):
+        w = text.split()
+        for i in range(len(w)):
+            assert {f for _, f in confirmed(model, " ".join(w[:i]) + "\n" * (i > 0) + " ".join(w[i:]))} == {a, b}
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert confirmed(model, t) == [(0, family)]
+
+
 def test_query_finds_planted_lines_and_leaves_the_rest(spark, sf_dir):
     found = licenses.query(spark, sf_dir).filter("confirmed").collect()
     assert found
