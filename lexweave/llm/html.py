@@ -15,10 +15,13 @@ have no children; p, li, dt, dd, tr, td, th and option are closed by their own
 kind or by the end of their parent; unknown closing tags are ignored, and what
 stays open closes at the end.
 
+Attribute values in quotes may hold ``>``; a quote that is never closed doesn't
+hide what follows.
+
 Defined results: a null or empty page, and one without text, gives an empty text
-and density 0; where text is too short for any density above 0 the whole body is taken; of elements with equal sums the first in document order is taken; a
+and density 0; very long and very deep pages are parsed whole; where text is too short for any density above 0 the whole body is taken; of elements with equal sums the first in document order is taken; a
 page without body is its own body; pages without id and repeated rows are extracted each; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm._words import lean, slices
 from lexweave.session import ship
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|$)|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+(?:>|$)|[^<]+|<""", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a new element closes, up to the nearest of the listed scopes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -182,16 +186,15 @@ def extract(page: str | None) -> tuple[str, str, float, float]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [extract(p) for p in b.column(1).to_pylist()]
-        if rows:
-            text, path, total, limit = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text), pa.array(path), pa.array(total), pa.array(limit)], ["page_id", "content", "path", "density_sum", "threshold"])
+        for i, j in slices(b.column(1)):
+            text, path, total, limit = zip(*(extract(p) for p in b.column(1)[i:j].to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(text), pa.array(path), pa.array(total), pa.array(limit)], ["page_id", "content", "path", "density_sum", "threshold"])
 
 
 def contents(pages: DataFrame) -> DataFrame:
     """Rows (page_id, content, path, density_sum, threshold), one for each page."""
     ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_extract, "page_id bigint, content string, path string, density_sum double, threshold double")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(lean(_extract), "page_id bigint, content string, path string, density_sum double, threshold double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

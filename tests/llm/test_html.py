@@ -70,6 +70,11 @@ def test_broken_and_deep_pages():
     assert len(html.extract("<p>" + "word " * 400_000)[0]) == 5 * 400_000 - 1
 
 
+@pytest.mark.parametrize("page,text", [('<p title="a>b">x</p>', "x"), ("<p title='a>b' id=c>x</p>", "x"), ('<p title = "a>b"class=d>x', "x"), ("<p title=don't>it's</p>", "it's"), ('<p title="open>x</p>', "x"), ('<a href="?q=1&b>2">x</a>', "x"), ("<p " + 'a="b>" ' * 50_000 + ">x", "x"), ("<p " + "a=' " * 20_001 + ">x", "x")])
+def test_quoted_attributes(page, text):
+    assert html.extract(page)[0] == text
+
+
 def test_edges(spark):
     rows = [(1, "u", "<p>x</p>", "c"), (1, "u", "<p>x</p>", "c"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, content string")
