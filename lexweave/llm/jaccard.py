@@ -1,56 +1,72 @@
 """N-gram Jaccard join with vertical partitioning.
 
 Two documents are near when their sets of word n-grams have a Jaccard similarity
-of at least ``threshold``. The join is exact; it goes through these steps, each of
-which is a pass or a shuffle of packed arrays:
+of at least ``threshold``. The join is exact (n-grams and sets are told apart by
+64-bit keys); it goes through these steps, each of which is a pass or a shuffle of
+packed arrays:
 
 1. Signatures: equal n-gram sets collapse to one, whose smallest id stands for it.
-2. Shared share: a set can only be near another when ``threshold`` of its n-grams
-   occur in other sets, too. The n-grams travel as short fingerprints; a chance
-   agreement can only let a set through that step 5 rejects. The sets travel by
-   five bytes of their signatures: a pair would be lost only if these agree by
-   chance, once in 2**40 pairs.
-3. Global order: the n-grams of the remaining sets that occur in two of them or
-   more are ordered by frequency class, then by key, rare ones first.
-4. Candidates: near sets share an n-gram early in that order (prefix and
-   positional filter, with the length filter).
-5. Vertical partitioning: the global order is cut into fragments; each counts the
-   partial overlaps of the candidates in its own range, and the sum per pair
-   decides.
-
-The result has a row for each pair of near distinct sets, under the ids that stand
-for them, and a row (id that stands for the set, id, 1.0) for each further
-document with an equal set. All pairs follow from these without another
-comparison; a group of n equal documents takes n rows and not n * n.
+   A task sends a set on once, however many copies it reads.
+2. Global order: the n-grams that occur in two sets or more are ordered by
+   frequency class, then by key, rare ones first. An n-gram that a large share of
+   all sets hold is known from the first pass; its entries are spread by set, and
+   never gathered. A set of whose n-grams less than ``threshold`` occur elsewhere
+   is near nothing and is left out from here on.
+3. Candidates: near sets share an n-gram early in that order (prefix and positional
+   filter, with the length filter). An n-gram that leads up to ``HOT`` sets gives
+   candidate pairs. The sets of any other are hot and need no pairs: each has a
+   home, the most frequent hot n-gram that leads it, and the homes that meet under
+   a hot n-gram are compared as wholes, block by block.
+4. Vertical partitioning: the global order is cut into fragments; each counts the
+   partial overlaps of the candidate pairs in its own range, and the sum per pair
+   decides. A pair goes to the fragments that its smaller set reaches. For two
+   blocks of hot sets the partial overlaps of a fragment are a matrix, the product
+   of the blocks' incidence matrices, and all their pairs are summed at once.
+
+``classes`` has one row for each document: the smallest id of its connected group
+of near documents, and how many other n-gram sets its own is linked to. ``near`` has
+the pairs themselves between distinct sets, under the ids that stand for them, and a
+row (id that stands for the set, id, 1.0) for each further document with an equal
+set; ``expand`` makes all pairs of documents of them.
 
 Defined results: rows without id are left out; null, empty and wordless texts have
-no n-gram and are near nothing; a text of fewer words than ``n`` is one n-gram;
+no n-gram, are near nothing and are a class of their own without links; a text of
+fewer words than ``n`` is one n-gram; a very long text is one set like any other;
 repeated rows are one document; rows of one id with different texts are compared
-each, and a pair of them is left out; an empty table gives an empty result; other
-columns are not read by ``near`` and pass through ``keep_one`` untouched. In
-``keep_one`` the smallest id of each group stays, and rows without id stay.
+each, and a pair of them is left out; of ties the smallest id stands for a set and a
+class; an empty table gives an empty result; other columns are not read by ``near``
+and ``classes`` and pass through ``keep_one`` untouched, whatever their names. In
+``keep_one`` the smallest id of each class stays, and rows without id stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._words import grams, lean, mix, sets, slices, words
+from lexweave.llm._words import grams, lean, mix, sets, slices, trim, words
 from lexweave.session import cut, ship, small
 
 N = 5
 THRESHOLD = 0.4
-#: Entries that one fragment should hold in the first pass and in the later ones; sets how many fragments there are.
-FRAGMENT = 1_500_000
+#: Entries (n-grams of sets) that one fragment or part should hold; sets how many there are.
 PART = 750_000
+#: Sets that an n-gram may lead in candidate pairs; those of any other are compared in blocks.
+HOT = 64
+#: Sets of a block, and entries that they should not exceed.
+BLOCK, BLOCK_ENTRIES = 512, 1_000_000
+#: An n-gram is spread by set where it is in this share of all sets (four times as much of a slice's, and SEEN of them).
+SHARE, SEEN = 1 / 256, 16
 #: Pairs that are looked at in one go.
 CHUNK = 500_000
+#: Columns of a fragment's incidence matrix.
+COLUMNS = 2048
 TEXT_BYTES = 2 << 20
 
 
@@ -72,135 +88,126 @@ def _signed(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key, edge, sig
 
 
-def _signatures(n: int):
+def _signatures(n: int, share: float, seen: int):
+    """Rows (doc_id, signature, n-grams) of texts, and (null, n-gram, sets) where many sets of a slice hold it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "sig", "size"]
         for b in batches:
             for ids, texts in _slices(b):
-                _, edge, sig = _signed(texts, n)
-                ok = np.diff(edge) > 0
-                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(sig[ok].view(np.int64)), pa.array(np.diff(edge)[ok])], ["doc_id", "sig", "size"])
+                key, edge, sig = _signed(texts, n)
+                size = np.diff(edge)
+                ok = np.flatnonzero(size > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok)), pa.array(sig[ok].view(np.int64)), pa.array(size[ok])], names)
+                one = ok[np.unique(sig[ok], return_index=True)[1]]
+                if len(one) >= seen:
+                    chosen = np.zeros(len(size), bool)
+                    chosen[one] = True
+                    held = np.sort(key[np.repeat(chosen, size)])
+                    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+                    count = np.diff(np.append(first, len(held)))
+                    many = count >= max(seen, 4 * share * len(one))
+                    if many.any():
+                        yield pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), pa.int64()), pa.array(held[first[many]].view(np.int64)), pa.array(count[many])], names)
 
     return run
 
 
-def _pack(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+class _Heavy(NamedTuple):
+    """N-grams that a large share of all sets hold: sorted keys, and their frequency classes."""
 
+    keys: np.ndarray
+    kinds: np.ndarray
 
-def _unpack(raw: bytes, width: int) -> np.ndarray:
-    a = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    out = np.zeros((len(a), 8), np.uint8)
-    out[:, :width] = a
-    return out.view("<u8").ravel()
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are heavy, and their places."""
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return (self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)), at
 
 
-def _fragment_of(key: np.ndarray, fragments: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
+def _part_of(sig: np.ndarray, parts: int) -> np.ndarray:
+    return ((sig >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-LIGHT = "frag int, sigs binary, counts binary, keys binary"
-#: Bytes of a signature in the pass that looks for shared n-grams alone.
-SHORT = 5
-PACKED = "frag int, sigs binary, sizes binary, counts binary, keys binary"
+def _part_column(sig: str, parts: int) -> Column:
+    return (F.shiftrightunsigned(sig, 33) % parts).cast("int")
 
 
-def _short(sig: np.ndarray) -> np.ndarray:
-    return sig & np.uint64((1 << 8 * SHORT) - 1)
+def _fragment_of(key: np.ndarray, fragments: int) -> np.ndarray:
+    return ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
 
 
-def _light(n: int, fragments: int, width: int):
-    """Each text's n-grams by fragment, as small as the first pass allows.
+def _cuts(values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)).tolist() if len(values) else [0]
 
-    A row holds the sets of a slice that have some there, by the low bytes of
-    their signatures; more than 255 n-grams of a set are two entries or more.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, texts in _slices(b):
-                key, edge, sig = _signed(texts, n)
-                if not len(key):
-                    continue
-                size = np.diff(edge)
-                owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
-                frag = _fragment_of(key, fragments)
-                order = np.argsort(frag.astype(np.uint16) if fragments <= 65536 else frag, kind="stable")
-                frag, owner, key = frag[order], owner[order], key[order]
-                cuts = np.append(np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]), len(frag)).tolist()
-                rows: list[list] = [[], [], [], []]
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    own = owner[a:z]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    count = np.diff(np.append(first, z - a))
-                    times = -(-count // 255)
-                    who, part = np.repeat(own[first], times), np.full(times.sum(), 255)
-                    part[np.cumsum(times) - 1] = count - (times - 1) * 255
-                    for col, value in zip(rows, (int(frag[a]), _pack(sig[who], SHORT), part.astype(np.uint8).tobytes(), _pack(key[a:z], width))):
-                        col.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["frag", "sigs", "counts", "keys"])
+PACKED = "frag int, sigs binary, sizes binary, counts binary, keys binary"
 
-    return run
 
+def _scatter(n: int, fragments: int, heavy: _Heavy):
+    """Each set's n-grams by fragment, a set once a task: a row holds the sets of a slice that have some there.
 
-def _scatter(n: int, fragments: int, width: int):
-    """Each text's n-grams by fragment: a row holds the sets of a slice that have some there."""
+    Heavy ones go to as many fragments again, by set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             for _, texts in _slices(b):
                 key, edge, sig = _signed(texts, n)
-                if not len(key):
-                    continue
                 size = np.diff(edge)
+                new = np.zeros(len(size), bool)
+                new[np.unique(sig, return_index=True)[1]] = True
+                new &= (size > 0) & np.array([x not in done for x in sig.tolist()], bool)
+                done.update(sig[new].tolist())
+                if not new.any():
+                    continue
+                key, sig, size = key[np.repeat(new, size)], sig[new], size[new]
                 owner = np.repeat(np.arange(len(size)), size)
                 frag = _fragment_of(key, fragments)
-                order = np.argsort(frag.astype(np.uint16) if fragments <= 65536 else frag, kind="stable")
+                if len(heavy.keys):
+                    known, _ = heavy.find(key)
+                    frag = np.where(known, fragments + _part_of(sig, fragments)[owner], frag)
+                order = np.argsort(frag.astype(np.uint16) if fragments <= 32768 else frag, kind="stable")
                 frag, owner, key = frag[order], owner[order], key[order]
-                cuts = np.append(np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]), len(frag)).tolist()
+                cuts = _cuts(frag)
                 rows: list[list] = [[], [], [], [], []]
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    own = owner[a:z]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    who = own[first]
-                    for col, value in zip(rows, (int(frag[a]), sig[who].tobytes(), size[who].astype(np.uint32).tobytes(), np.diff(np.append(first, z - a)).astype(np.uint32).tobytes(), _pack(key[a:z], width))):
+                    first = _cuts(owner[a:z])
+                    who = owner[a:z][first[:-1]]
+                    for col, value in zip(rows, (int(frag[a]), sig[who].tobytes(), size[who].astype(np.uint32).tobytes(), np.diff(first).astype(np.uint32).tobytes(), key[a:z].tobytes())):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["frag", "sigs", "sizes", "counts", "keys"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of a whole partition: distinct signatures, their sizes, and distinct (key, signature index) sorted by key."""
-    sigs, sizes, counts, keys = [], [], [], []
+def _read(b: pa.RecordBatch, r: int, *columns: tuple[str, type]) -> list[np.ndarray]:
+    return [np.frombuffer(b.column(name)[r].as_buffer(), kind) for name, kind in columns]
+
+
+_SETS = (("sigs", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("keys", np.uint64))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a whole fragment: its number, distinct signatures, their sizes, and distinct (key, signature index) sorted by key."""
+    held, frag = [], 0
     for b in batches:
-        light = "sizes" not in b.schema.names
         for r in range(b.num_rows):
-            raw = b.column("sigs")[r].as_buffer()
-            sigs.append(_unpack(raw, SHORT) if light else np.frombuffer(raw, np.uint64))
-            sizes.append(np.zeros(len(sigs[-1]), np.uint32) if light else np.frombuffer(b.column("sizes")[r].as_buffer(), np.uint32))
-            counts.append(np.frombuffer(b.column("counts")[r].as_buffer(), np.uint8 if light else np.uint32))
-            keys.append(_unpack(b.column("keys")[r].as_buffer(), width))
-    if not keys:
+            frag = b.column("frag")[r].as_py()
+            held.append(_read(b, r, *_SETS))
+    if not held:
         return None
-    key = np.concatenate(keys)
-    del keys
-    sig, size, count = (np.concatenate(x) for x in (sigs, sizes, counts))
+    sig, size, count, key = (np.concatenate(x) for x in zip(*held))
+    del held
     known, first, index = np.unique(sig, return_index=True, return_inverse=True)
     owner = np.repeat(index.astype(np.int32), count)
-    bits = max(1, int(len(known) - 1).bit_length())
-    if 8 * width + bits <= 64:
-        # in place, as this is the largest array of the task
-        key <<= np.uint64(bits)
-        key |= owner.view(np.uint32)
-        key.sort()
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-        owner = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
-        key >>= np.uint64(bits)
-        return known, size[first], key, owner
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-    return known, size[first], key[new], owner[new]
+    return frag, known, size[first], key[new], owner[new]
 
 
 def _frequency(key: np.ndarray) -> np.ndarray:
@@ -210,44 +217,65 @@ def _frequency(key: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-def _shared(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, width)
-        if got is None:
-            return
-        known, _, key, owner = got
-        n = np.bincount(owner[_frequency(key) > 1], minlength=len(known))
-        some = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["short", "shared"])
-
-    return run
+SEGMENTS = "part int, sigs binary, sizes binary, counts binary, keys binary, classes binary, hist array<bigint>"
+_SEGMENTS = ["part", "sigs", "sizes", "counts", "keys", "classes", "hist"]
 
 
-SEGMENTS = "part int, sigs binary, sizes binary, counts binary, keys binary, classes binary, hist array<bigint>"
+def _segment(part: int, sig: np.ndarray, size: np.ndarray, count: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    raw = (sig.tobytes(), size.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), key.tobytes(), kind.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in raw], pa.array([np.bincount(kind, minlength=64).tolist()], pa.list_(pa.int64()))], _SEGMENTS)
 
 
-def _segments(parts: int):
+def _segments(parts: int, fragments: int, heavy: _Heavy):
     """Entries that occur in two sets or more, with their frequency class, by part of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, 8)
+        got = _gather(batches)
         if got is None:
             return
-        known, size, key, owner = got
-        n = _frequency(key)
-        key, owner, n = key[n > 1], owner[n > 1], n[n > 1]
-        kind = np.log2(n).astype(np.uint8)
-        part = (known % np.uint64(parts)).astype(np.int64)[owner]
+        frag, known, size, key, owner = got
+        if frag < fragments:
+            n = _frequency(key)
+            key, owner, n = key[n > 1], owner[n > 1], n[n > 1]
+            kind = np.log2(n).astype(np.uint8)
+        else:
+            kind = heavy.kinds[heavy.find(key)[1]]
+        part = _part_of(known, parts)[owner]
         order = np.lexsort((owner, part))
         key, owner, kind, part = key[order], owner[order], kind[order], part[order]
-        cuts = np.append(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)).tolist() if len(part) else [0]
+        cuts = _cuts(part)
         for a, z in zip(cuts[:-1], cuts[1:]):
-            own = owner[a:z]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            who = own[first]
-            hist = np.bincount(kind[a:z], minlength=64)
-            row = (known[who].tobytes(), size[who].astype(np.uint32).tobytes(), np.diff(np.append(first, z - a)).astype(np.uint32).tobytes(), key[a:z].tobytes(), kind[a:z].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *[pa.array([x], pa.binary()) for x in row], pa.array([hist.tolist()], pa.list_(pa.int64()))], ["part", "sigs", "sizes", "counts", "keys", "classes", "hist"])
+            first = _cuts(owner[a:z])
+            who = owner[a:z][first[:-1]]
+            yield _segment(int(part[a]), known[who], size[who], np.diff(first), key[a:z], kind[a:z])
+
+    return run
+
+
+_ENTRIES = (*_SETS, ("classes", np.uint8))
+
+
+def _active(threshold: float):
+    """Of a part: the sets of whose n-grams enough occur elsewhere, each one's in global order, in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, part = [], 0
+        for b in batches:
+            for r in range(b.num_rows):
+                part = b.column("part")[r].as_py()
+                got.append(_read(b, r, *_ENTRIES))
+        if not got:
+            return
+        sig, size, count, key, kind = (np.concatenate(x) for x in zip(*got))
+        sig, size = np.repeat(sig, count), np.repeat(size, count)
+        order = np.lexsort((key, kind, sig))
+        sig, size, key, kind = sig[order], size[order], key[order], kind[order]
+        n = _frequency(sig)
+        ok = n >= np.ceil(threshold * size.astype(np.int64) - 1e-9)
+        sig, size, key, kind = sig[ok], size[ok], key[ok], kind[ok]
+        if len(sig):
+            first = _cuts(sig)
+            yield _segment(part, sig[first[:-1]], size[first[:-1]], np.diff(first), key, kind)
 
     return run
 
@@ -281,36 +309,53 @@ def _rows_by(frag: np.ndarray, role: int, columns: list[np.ndarray]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(frag[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, role, np.int32)), *data], _VERTICAL)
 
 
-def _entries(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
-    col = lambda name, kind: np.frombuffer(b.column(name)[r].as_buffer(), kind)
-    return col("sigs", np.uint64), col("sizes", np.uint32), col("counts", np.uint32), col("keys", np.uint64), col("classes", np.uint8)
+def _leading(b: pa.RecordBatch, r: int, threshold: float) -> list[np.ndarray]:
+    """Signature, key, class, size and rest of the set's n-grams (itself counted) of the first n-grams of a part's sets."""
+    sig, size, count, key, kind = _read(b, r, *_ENTRIES)
+    end = np.repeat(np.cumsum(count, dtype=np.int64), count)
+    sig, size = np.repeat(sig, count), np.repeat(size, count).astype(np.int64)
+    # those that occur in no other set come first in the order
+    left = end - np.arange(len(key))
+    ok = left >= np.ceil(threshold * size - 1e-9)
+    return [sig[ok], key[ok], kind[ok], size[ok], left[ok]]
 
 
-def _prefixes(threshold: float, cut_at):
-    """Of each set of a partition: its first n-grams in the global order, by fragment."""
+def _prefixes(threshold: float, cut_at, heavy: _Heavy):
+    """The first n-grams of each set that aren't heavy, by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_entries(b, r) for b in batches for r in range(b.num_rows)]
-        if not got:
-            return
-        sig, size, count, key, kind = (np.concatenate(x) for x in zip(*got))
-        sig, size = np.repeat(sig, count), np.repeat(size, count).astype(np.int64)
-        order = np.lexsort((key, kind, sig))
-        sig, size, key, kind = sig[order], size[order], key[order], kind[order]
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        n = np.diff(np.append(starts, len(sig)))
-        # those that occur in no other set come first in the order
-        left = np.repeat(np.append(starts, len(sig))[1:], n) - np.arange(len(sig))
-        ok = left >= np.ceil(threshold * size - 1e-9)
-        sig, size, key, kind, left = sig[ok], size[ok], key[ok], kind[ok], left[ok]
-        out = _rows_by(cut_at(kind, key), 0, [sig, key, size.astype(np.uint32), left.astype(np.uint32)])
-        if out is not None:
-            yield out
+        for b in batches:
+            for r in range(b.num_rows):
+                sig, key, kind, size, left = _leading(b, r, threshold)
+                if len(heavy.keys):
+                    ok = ~heavy.find(key)[0]
+                    sig, key, kind, size, left = sig[ok], key[ok], kind[ok], size[ok], left[ok]
+                out = _rows_by(cut_at(kind, key), 0, [sig, key, size.astype(np.uint32), left.astype(np.uint32)])
+                if out is not None:
+                    yield out
 
     return run
 
 
-PAIRS = "a bigint, b bigint, na bigint, nb bigint"
+CANDIDATES = "hot boolean, a bigint, b bigint, na bigint, nb bigint"
+
+
+def _found(hot: bool, *columns: np.ndarray) -> pa.RecordBatch:
+    data = [pa.array(c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), hot)), *data], ["hot", "a", "b", "na", "nb"])
+
+
+def _heavy_members(threshold: float, heavy: _Heavy):
+    """Rows (hot, set, n-gram, size, size) of the sets that a heavy n-gram leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                sig, key, _, size, _ = _leading(b, r, threshold)
+                ok = heavy.find(key)[0]
+                yield _found(True, sig[ok], key[ok], size[ok], size[ok])
+
+    return run
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -326,15 +371,25 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         at = to
 
 
-def _candidates(threshold: float):
+def _candidates(threshold: float, hot: int):
+    """Candidate pairs under the n-grams of a fragment that lead up to ``hot`` sets, and the sets of the others."""
     need = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32), ("d", np.uint32))] for b in batches for r in range(b.num_rows)]
+        got = [_read(b, r, ("a", np.uint64), ("b", np.uint64), ("c", np.uint32), ("d", np.uint32)) for b in batches for r in range(b.num_rows)]
         if not got:
             return
         sig, key, size, left = (np.concatenate(x) for x in zip(*got))
+        del got
         size, left = size.astype(np.int64), left.astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        many = np.empty(len(key), bool)
+        many[order] = _frequency(key[order]) > hot
+        if many.any():
+            yield _found(True, sig[many], key[many], size[many], size[many])
+            sig, key, size, left = sig[~many], key[~many], size[~many], left[~many]
+        if not len(key):
+            return
         known, index = np.unique(sig, return_inverse=True)
         order = np.lexsort((index, size, key))
         index, key, size, left = index[order], key[order], size[order], left[order]
@@ -347,24 +402,123 @@ def _candidates(threshold: float):
         size_of = np.zeros(len(known), np.int64)
         size_of[index] = size
         seen = np.zeros(0, np.int64)
+
+        def told(seen: np.ndarray) -> pa.RecordBatch:
+            x, y = seen // len(known), seen % len(known)
+            return _found(False, known[x], known[y], size_of[x], size_of[y])
+
         for i, j in _expand(np.arange(len(hi)) + 1, hi):
             ok = np.minimum(left[i], left[j]) >= np.ceil(need * (size[i] + size[j]) - 1e-9)
-            x, y = index[i[ok]], index[j[ok]]
-            seen = np.union1d(seen, np.minimum(x, y) * len(known) + np.maximum(x, y))
-        x, y = seen // max(1, len(known)), seen % max(1, len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(known[x].view(np.int64)), pa.array(known[y].view(np.int64)), pa.array(size_of[x]), pa.array(size_of[y])], ["a", "b", "na", "nb"])
+            seen = np.union1d(seen, index[i[ok]] * len(known) + index[j[ok]])
+            if len(seen) > 4 * CHUNK:
+                yield told(seen)
+                seen = np.zeros(0, np.int64)
+        yield told(seen)
 
     return run
 
 
-def _cut_segments(cut_at):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hot sets of a part (rows of a part with its members) by home and block."""
+    for b in batches:
+        for r in range(b.num_rows):
+            sig, size, count, key = _read(b, r, *_SETS)
+            members = b.column("members")[r].values
+            name, home, block = (members.field(k).to_numpy(zero_copy_only=False) for k in ("sig", "home", "block"))
+            at = np.searchsorted(sig, name.view(np.uint64))
+            edge = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+            order = np.lexsort((at, block, home))
+            at, home, block = at[order], home[order], block[order]
+            new = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (block[1:] != block[:-1])])
+            for a, z in zip(new.tolist(), np.append(new[1:], len(at)).tolist()):
+                mine = at[a:z]
+                keys = np.concatenate([key[edge[m] : edge[m + 1]] for m in mine.tolist()])
+                raw = (sig[mine].tobytes(), size[mine].tobytes(), count[mine].tobytes(), keys.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([home[a]], pa.int64()), pa.array([block[a]], pa.int64()), *[pa.array([x], pa.binary()) for x in raw]], ["home", "block", "sigs", "sizes", "counts", "keys"])
+
+
+def overlaps(ka: np.ndarray, oa: np.ndarray, na: int, kb: np.ndarray, ob: np.ndarray, nb: int) -> np.ndarray:
+    """Common n-grams of all pairs of two blocks (keys, owners, number of sets), fragment by fragment.
+
+    A frequent n-gram is a column of the fragment's incidence matrices; those in few
+    sets of both blocks are counted from their lists.
+    """
+    out = np.zeros((na, nb), np.float32)
+    both = np.intersect1d(ka, kb)
+    if not len(both):
+        return out
+
+    def lists(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.searchsorted(both, key)
+        at[at == len(both)] = 0
+        ok = both[at] == key
+        at, owner = at[ok], owner[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order], np.searchsorted(at[order], np.arange(len(both) + 1))
+
+    ca, xa, ea = lists(ka, oa)
+    cb, xb, eb = lists(kb, ob)
+    wide = np.diff(ea) * np.diff(eb) * 32 >= na * nb
+    column = np.cumsum(wide) - 1
+    for lo in range(0, int(wide.sum()), COLUMNS):
+        x, y = np.zeros((na, COLUMNS), np.float32), np.zeros((nb, COLUMNS), np.float32)
+        for m, c, o in ((x, ca, xa), (y, cb, xb)):
+            mine = wide[c] & (column[c] >= lo) & (column[c] < lo + COLUMNS)
+            m[o[mine], column[c[mine]] - lo] = 1
+        out += x @ y.T
+    rest = np.flatnonzero(~wide[ca])
+    flat = out.reshape(-1)
+    for i, j in _expand(eb[ca[rest]], eb[ca[rest] + 1]):
+        flat += np.bincount(xa[rest[i]] * np.int64(nb) + xb[j], minlength=na * nb).astype(np.float32)
+    return out
+
+
+def _joint(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest row number of the connected part of each row and column, the number of rows where there is none."""
+    none = link.shape[0]
+    rows = np.arange(none)
+    while True:
+        columns = np.where(link, rows[:, None], none).min(0, initial=none)
+        new = np.minimum(rows, np.where(link, columns[None, :], none).min(1, initial=none))
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
+def _compare(threshold: float, pairs: bool):
+    """All pairs of two blocks: the pairs that are near, or (set, null, links) and (set, set of its connected part, null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides: list[list] = [[], []]
+        for b in table.to_batches():
             for r in range(b.num_rows):
-                sig, _, count, key, kind = _entries(b, r)
-                out = _rows_by(cut_at(kind, key), 0, [np.repeat(sig, count), key])
-                if out is not None:
-                    yield out
+                sides[b.column("side")[r].as_py()].append(_read(b, r, *_SETS))
+        load = lambda s: [np.concatenate(x) for x in zip(*s)]
+        sig, size, count, key = load(sides[0])
+        same = not sides[1]
+        sig2, size2, count2, key2 = (sig, size, count, key) if same else load(sides[1])
+        common = overlaps(key, np.repeat(np.arange(len(sig)), count), len(sig), key2, np.repeat(np.arange(len(sig2)), count2), len(sig2)).astype(np.float64)
+        union = size[:, None].astype(np.float64) + size2[None, :] - common
+        link = common + 1e-9 >= threshold * union
+        if same:
+            np.fill_diagonal(link, False)
+        as_long = lambda x: pa.array(x.view(np.int64))
+        if pairs:
+            i, j = np.nonzero(np.triu(link) if same else link)
+            return pa.table({"a": as_long(sig[i]), "b": as_long(sig2[j]), "jaccard": np.round(common[i, j] / union[i, j], 6)})
+        counts = [(sig, link.sum(1))] + ([] if same else [(sig2, link.sum(0))])
+        if same:
+            link |= np.eye(len(sig), dtype=bool)  # a set's row and column are one
+        part, part2 = _joint(link)
+        ok = part < np.arange(len(sig))
+        edges = [(sig[ok], sig[part[ok]])]
+        if not same:
+            ok = part2 < len(sig)
+            edges.append((sig2[ok], sig[part2[ok]]))
+        out = [pa.table({"a": as_long(s[n > 0]), "b": pa.nulls(int((n > 0).sum()), pa.int64()), "n": pa.array(n[n > 0].astype(np.int64))}) for s, n in counts]
+        out += [pa.table({"a": as_long(u), "b": as_long(v), "n": pa.nulls(len(u), pa.int64())}) for u, v in edges]
+        trim()
+        return pa.concat_tables(out)
 
     return run
 
@@ -381,119 +535,210 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
         yield pa.concat_batches(held)
 
 
-def _spread_pairs(fragments: int):
-    """The candidates go to every fragment, packed.
+ROUTES = "part int, role int, a binary, b binary, c binary, d binary, e binary"
 
-    A row holds the distinct sets of a run of pairs once, with their sizes, and
-    the pairs as steps from place to place in that list. Pairs come in order of
-    their first set, so that the steps within a group of near copies are small
-    and the shuffle's compression leaves little of them.
-    """
+
+def _by_part(parts: int):
+    """Pairs, packed, by the part of their smaller set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, 1 << 16):
-            if not batch.num_rows:
-                continue
             a, b, na, nb = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            known, first, place = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
-            size = np.r_[na, nb][first]
-            x, y = place[: len(a)], place[len(a) :]
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
-            new = np.r_[True, dx[1:] > 0]
-            dy[new] = y[new]
-            raw = [known.tobytes(), size.astype(np.uint32).tobytes(), dx.astype(np.uint32).tobytes(), dy.astype(np.uint32).tobytes()]
-            for f in range(fragments):
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([1], pa.int32()), *[pa.array([v], pa.binary()) for v in raw]], _VERTICAL)
+            part = _part_of(a.view(np.uint64), parts)
+            order = np.lexsort((b, a, part))
+            a, b, na, nb, part = a[order], b[order], na[order], nb[order], part[order]
+            cuts = _cuts(part)
+            for x, z in zip(cuts[:-1], cuts[1:]):
+                raw = (a[x:z].tobytes(), b[x:z].tobytes(), na[x:z].astype(np.uint32).tobytes(), nb[x:z].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([part[x]], pa.int32()), pa.array([1], pa.int32()), *[pa.array([v], pa.binary()) for v in raw], pa.nulls(1, pa.binary())], ["part", "role", "a", "b", "c", "d", "e"])
 
     return run
 
 
-def _places(dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of both sets of the pairs from their steps."""
-    x, run = np.cumsum(dx, dtype=np.int64), np.cumsum(dy, dtype=np.int64)
-    start = np.flatnonzero(np.r_[True, dx[1:] > 0])
-    return x, run - np.repeat(run[start] - dy[start], np.diff(np.append(start, len(dx))))
+_PAIR = (("a", np.uint64), ("b", np.uint64), ("c", np.uint32), ("d", np.uint32))
+
+
+def _spread(cut_at, fragments: int, parts: int, heavy: _Heavy):
+    """A part's sets by fragment, and its pairs to the fragments that their smaller set reaches.
+
+    Heavy n-grams are counted where a pair's larger set lies: each part is a further
+    fragment, with the heavy entries of its own sets and of those that they are paired with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, pairs = None, []
+        for b in batches:
+            for r in range(b.num_rows):
+                if b.column("role")[r].as_py():
+                    pairs.append(_read(b, r, *_PAIR))
+                else:
+                    sets = _read(b, r, ("a", np.uint64), ("c", np.uint32), ("d", np.uint64), ("e", np.uint8)), b.column("part")[r].as_py()
+        if sets is None:
+            return
+        (known, count, key, kind), part = sets
+        owner, frag = np.repeat(np.arange(len(known)), count), cut_at(kind, key)
+        some = heavy.find(key)[0]
+        mine = owner[some], key[some]
+        if some.any():
+            yield _rows_by(np.full(len(mine[0]), fragments + part), 0, [known[mine[0]], mine[1]])
+            owner, key, frag = owner[~some], key[~some], frag[~some]
+        if len(key):
+            yield _rows_by(frag, 0, [known[owner], key])
+        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (frag[1:] != frag[:-1])])[: len(owner)]  # in global order, so by fragment
+        frag, edge = frag[new], np.searchsorted(owner[new], np.arange(len(known) + 1))
+        spots = np.searchsorted(mine[0], np.arange(len(known) + 1))
+        for a, b2, na, nb in pairs:
+            at = np.searchsorted(known, a)
+            for i, j in _expand(edge[at], edge[at + 1]):
+                yield _rows_by(frag[j], 1, [a[i], b2[i], na[i], nb[i]])
+            ok = np.flatnonzero(spots[at] < spots[at + 1])
+            if len(ok):
+                there = fragments + _part_of(b2[ok], parts)
+                yield _rows_by(there, 1, [a[ok], b2[ok], na[ok], nb[ok]])
+                sent = np.unique(np.stack([there, at[ok]]), axis=1)
+                for i, j in _expand(spots[sent[1]], spots[sent[1] + 1]):
+                    yield _rows_by(sent[0][i], 0, [known[sent[1][i]], mine[1][j]])
+
+    return run
+
+
+PAIRS = "a bigint, b bigint, na bigint, nb bigint"
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of the candidates in each fragment of the partition."""
-    held: dict[int, tuple[list, list]] = {}
-    kinds = ((np.int64, np.int64), (np.int64, np.uint32, np.uint32, np.uint32))
+    """Partial overlaps of the candidates in the fragment of the partition."""
+    segments, pairs = [], []
     for b in batches:
-        role = b.column("role").to_pylist()
-        for r, f in enumerate(b.column("frag").to_pylist()):
-            held.setdefault(f, ([], []))[role[r]].append([np.frombuffer(b.column(c)[r].as_buffer(), k) for c, k in zip("abcd", kinds[role[r]])])
-    for segments, pairs in held.values():
-        if not segments or not pairs:
-            continue
-        sig, key = (np.concatenate(x) for x in zip(*segments))
-        known, owner = np.unique(sig, return_inverse=True)
-        keys, rank = np.unique(key, return_inverse=True)
-        wide = len(keys)
-        slot = np.sort(owner * wide + rank)
-        edge = np.searchsorted(slot, np.arange(len(known) + 1) * wide)
-        for names, size, dx, dy in pairs:
-            x, y = _places(dx, dy)
-            at = np.searchsorted(known, names)
-            at[at == len(known)] = 0
-            there = known[at] == names
-            ok = there[x] & there[y]
-            x, y = x[ok], y[ok]
-            p, q = at[x], at[y]
-            flip = np.diff(edge)[p] > np.diff(edge)[q]
-            p, q = np.where(flip, q, p), np.where(flip, p, q)
-            total = np.zeros(len(x), np.int64)
-            for i, j in _expand(edge[p], edge[p + 1]):
-                want = slot[j] % wide + q[i] * wide
-                spot = np.searchsorted(slot, want)
-                spot[spot == len(slot)] = 0
-                total += np.bincount(i[slot[spot] == want], minlength=len(x))
-            ok = total > 0
-            x, y = x[ok], y[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (names[x], names[y], size[x], size[y], total[ok])], ["a", "b", "na", "nb", "common"])
-
-
-def _width(total: int) -> int:
-    """Bytes of a fingerprint at which a thousandth of the n-grams agree by chance at most."""
-    return min(8, max(5, ceil((max(2, total).bit_length() + 10) / 8)))
-
-
-def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_a, doc_b, jaccard), doc_a < doc_b; see the module for what a row stands for."""
+        for r, role in enumerate(b.column("role").to_pylist()):
+            if role:
+                pairs.append(_read(b, r, *_PAIR))
+            else:
+                segments.append(_read(b, r, ("a", np.uint64), ("b", np.uint64)))
+    if not segments or not pairs:
+        return
+    sig, key = (np.concatenate(x) for x in zip(*segments))
+    known, owner = np.unique(sig, return_inverse=True)
+    keys, rank = np.unique(key, return_inverse=True)
+    wide = len(keys)
+    slot = np.unique(owner * wide + rank)
+    edge = np.searchsorted(slot, np.arange(len(known) + 1) * wide)
+    a, b2, na, nb = (np.concatenate(x) for x in zip(*pairs))
+    del pairs
+    for lo in range(0, len(a), CHUNK):
+        some = slice(lo, lo + CHUNK)
+        p, q = np.searchsorted(known, a[some]), np.searchsorted(known, b2[some])
+        p[p == len(known)], q[q == len(known)] = 0, 0
+        ok = np.flatnonzero((known[p] == a[some]) & (known[q] == b2[some]))
+        p, q = p[ok], q[ok]
+        flip = np.diff(edge)[p] > np.diff(edge)[q]
+        p, q = np.where(flip, q, p), np.where(flip, p, q)
+        total = np.zeros(len(ok), np.int64)
+        for i, j in _expand(edge[p], edge[p + 1]):
+            want = slot[j] % wide + q[i] * wide
+            spot = np.searchsorted(slot, want)
+            spot[spot == len(slot)] = 0
+            total += np.bincount(i[slot[spot] == want], minlength=len(ok))
+        ok, total = ok[total > 0] + lo, total[total > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(b2[ok].view(np.int64)), *[pa.array(v.astype(np.int64)) for v in (na[ok], nb[ok], total)]], ["a", "b", "na", "nb", "common"])
+
+
+class Options(NamedTuple):
+    """Parameters of the join; those after ``threshold`` only say how it is cut."""
+
+    n: int = N
+    threshold: float = THRESHOLD
+    hot: int = HOT
+    block: int = BLOCK
+    share: float = SHARE
+    seen: int = SEEN
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def _join(docs: DataFrame, o: Options, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """signed (doc_id, sig, size), sets (sig, rep, size), near sets (a, b, jaccard), and of hot sets (a, b, n) as ``_compare`` has it or further near sets."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = cut(rows.mapInArrow(lean(_signatures(n)), "doc_id bigint, sig bigint, size bigint"), "jaccard-signed")
-    reps = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"))
-    equal = signed.select("sig", F.col("doc_id").alias("doc_b")).join(reps.select("sig", F.col("rep").alias("doc_a")), "sig").filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct()
-    total = signed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    fragments, width = max(12, ceil(total / FRAGMENT)), _width(total)
-    shared = rows.mapInArrow(lean(_light(n, fragments, width)), LIGHT).repartition(fragments, "frag").mapInArrow(lean(_shared(width)), "short bigint, shared bigint")
-    shared = shared.groupBy("short").agg(F.sum("shared").alias("shared"))
-    short = F.col("sig").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("short")
-    active = cut(reps.select("*", short).join(shared, "short").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select(F.col("rep").alias("doc_id"), "sig", "size"), "jaccard-active")
-    held = active.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = max(12, ceil(held[1] / PART))
-    some = rows.join(small(active.select("doc_id").distinct(), held[0]), "doc_id", "left_semi").select("doc_id", "text")
-    segments = cut(some.mapInArrow(lean(_scatter(n, parts, 8)), PACKED).repartition(parts, "frag").mapInArrow(lean(_segments(parts)), SEGMENTS), "jaccard-segments")
+    rows = _rows(docs)
+    first = cut(rows.mapInArrow(lean(_signatures(o.n, o.share, o.seen)), "doc_id bigint, sig bigint, size bigint"), "jaccard-signed")
+    signed = first.filter("doc_id is not null")
+    reps = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size")), "jaccard-sets")
+    n_sets, total = reps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # a set has at most so many n-grams that a share of all hold: the list is bounded by the share, not by the input
+    common = first.filter("doc_id is null").groupBy("sig").agg(F.sum("size").alias("n")).filter(F.col("n") >= max(o.seen, o.share * n_sets)).orderBy("sig").collect()
+    keys = np.array([r.sig for r in common], np.int64).view(np.uint64)
+    kinds = np.log2(np.array([r.n for r in common], float)).astype(np.uint8)
+    heavy = _Heavy(keys[np.argsort(keys)], kinds[np.argsort(keys)])
+    least = spark.sparkContext.defaultParallelism
+    parts = max(least, ceil(total / PART))
+    scattered = rows.mapInArrow(lean(_scatter(o.n, parts, heavy)), PACKED).repartitionById(parts * (1 + bool(common)), "frag")
+    segments = scattered.mapInArrow(lean(_segments(parts, parts, heavy)), SEGMENTS)
+    active = cut(segments.repartitionById(parts, "part").mapInArrow(lean(_active(o.threshold)), SEGMENTS), "jaccard-active")
     hist = [0] * 64
-    for r in segments.select(F.posexplode("hist").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in active.select(F.posexplode("hist").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
         hist[r.k] = r.v
-    cut_at, order_fragments = _cutter(hist, parts)
-    prefixes = segments.repartition(parts, "part").mapInArrow(lean(_prefixes(threshold, cut_at)), VERTICAL)
-    pairs = cut(prefixes.repartition(parts, "frag").mapInArrow(lean(_candidates(threshold)), PAIRS).repartition("a").distinct().sortWithinPartitions("a", "b"), "jaccard-pairs")
-    vertical = segments.mapInArrow(lean(_cut_segments(cut_at)), VERTICAL).unionByName(pairs.mapInArrow(lean(_spread_pairs(order_fragments)), VERTICAL))
-    partial = vertical.repartition(parts, "frag").mapInArrow(lean(_overlaps), PAIRS + ", common bigint")
+    cut_at, fragments = _cutter(hist, max(least, ceil(sum(hist) / PART)))
+    active = active.drop("hist")
+    found = active.mapInArrow(lean(_prefixes(o.threshold, cut_at, heavy)), VERTICAL).repartitionById(fragments, "frag").mapInArrow(lean(_candidates(o.threshold, o.hot)), CANDIDATES)
+    if common:
+        found = found.unionByName(active.mapInArrow(lean(_heavy_members(o.threshold, heavy)), CANDIDATES))
+    found = cut(found, "jaccard-candidates")
+    cold = found.filter("not hot").select("a", "b", "na", "nb").distinct()
+    hot = found.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("na").alias("size"))
+    frequency = hot.groupBy("key").agg(F.count("*").alias("n"))
+    home = cut(hot.join(frequency, "key").groupBy("sig").agg(F.max(F.struct("n", "key")).alias("m"), F.first("size").alias("size")).select("sig", F.col("m.key").alias("home"), "size"), "jaccard-homes")
+    n_hot = home.count()
+    blocked = None
+    if n_hot:
+        held = home.groupBy("home").agg(F.count("*").alias("c"), F.sum("size").alias("m"))
+        held = held.select("home", F.greatest(F.ceil(F.col("c") / o.block), F.ceil(F.col("m") / BLOCK_ENTRIES)).cast("bigint").alias("blocks"))
+        member = home.join(held, "home").select("sig", "home", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), _part_column("sig", parts).alias("part"))
+        packed = member.groupBy("part").agg(F.collect_list(F.struct("sig", "home", "block")).alias("members"))
+        blocks = cut(active.join(packed, "part").select("sigs", "sizes", "counts", "keys", "members").mapInArrow(lean(_blocks), "home bigint, block bigint, sigs binary, sizes binary, counts binary, keys binary"), "jaccard-blocks")
+        touch = hot.join(home.select("sig", "home"), "sig").select("key", "home").distinct()
+        met = touch.withColumnRenamed("home", "h1").join(touch.withColumnRenamed("home", "h2"), "key").filter("h1 <= h2").select("h1", "h2").distinct()
+        met = cut(met, "jaccard-met")
+        last = lambda h, k: held.select(F.col("home").alias(h), (F.col("blocks") - 1).alias(k))
+        units = met.join(last("h1", "k1"), "h1").join(last("h2", "k2"), "h2").withColumn("b1", F.explode(F.sequence(F.lit(0).cast("bigint"), "k1")))
+        units = units.withColumn("b2", F.explode(F.sequence(F.when(F.col("h1") == F.col("h2"), F.col("b1")).otherwise(0), "k2"))).select("h1", "b1", "h2", "b2")
+        side = lambda k, us: us.join(blocks.select(F.col("home").alias(f"h{k + 1}"), F.col("block").alias(f"b{k + 1}"), F.lit(k).alias("side"), "sigs", "sizes", "counts", "keys"), [f"h{k + 1}", f"b{k + 1}"]).select("h1", "b1", "h2", "b2", "side", "sigs", "sizes", "counts", "keys")
+        both = side(0, units).unionByName(side(1, units.filter("h1 <> h2 or b1 <> b2")))
+        blocked = cut(both.groupBy("h1", "b1", "h2", "b2").applyInArrow(_compare(o.threshold, pairs), "a bigint, b bigint, jaccard double" if pairs else "a bigint, b bigint, n bigint"), "jaccard-blocked")
+        of = lambda sig, h: small(home.select(F.col("sig").alias(sig), F.col("home").alias(h)), n_hot, 48)
+        cold = cold.join(of("a", "ha"), "a", "left").join(of("b", "hb"), "b", "left").withColumns({"h1": F.least("ha", "hb"), "h2": F.greatest("ha", "hb"), "two": F.col("ha").isNotNull() & F.col("hb").isNotNull()})
+        cold = cold.join(small(met.withColumn("two", F.lit(True)), met.count(), 48), ["h1", "h2", "two"], "left_anti").select("a", "b", "na", "nb")
+    cold = cut(cold, "jaccard-pairs")
+    routed = active.select("part", F.lit(0).alias("role"), F.col("sigs").alias("a"), F.lit(None).cast("binary").alias("b"), F.col("counts").alias("c"), F.col("keys").alias("d"), F.col("classes").alias("e"))
+    routed = routed.unionByName(cold.mapInArrow(lean(_by_part(parts)), ROUTES)).repartitionById(parts, "part")
+    partial = routed.mapInArrow(lean(_spread(cut_at, fragments, parts, heavy)), VERTICAL).repartitionById(fragments + parts * bool(common), "frag").mapInArrow(lean(_overlaps), PAIRS + ", common bigint")
     summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
     union = F.col("na") + F.col("nb") - F.col("common")
-    near_sets = summed.filter(F.col("common") + 1e-9 >= threshold * union).select("a", "b", F.round(F.col("common") / union, 6).alias("jaccard"))
-    # the sets of near pairs are among the active ones, far fewer than all
-    near_sets = cut(near_sets, "jaccard-near")
-    rep = lambda sig, doc: small(active.select(F.col("sig").alias(sig), F.col("doc_id").alias(doc)), held[0])
-    near_docs = near_sets.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
-    return near_docs.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    near_sets = cut(summed.filter(F.col("common") + 1e-9 >= o.threshold * union).select("a", "b", F.round(F.col("common") / union, 6).alias("jaccard")), "jaccard-near")
+    if blocked is None:
+        blocked = spark.createDataFrame([], "a bigint, b bigint, jaccard double" if pairs else "a bigint, b bigint, n bigint")
+    return signed, reps, near_sets, blocked
+
+
+def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **cuts) -> DataFrame:
+    """Rows (doc_a, doc_b, jaccard), doc_a < doc_b; see the module for what a row stands for."""
+    signed, reps, near_sets, blocked = _join(docs, Options(n, threshold, **cuts), True)
+    equal = signed.join(reps.select("sig", F.col("rep").alias("doc_a")), "sig").filter("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    rep = lambda sig, doc: reps.select(F.col("sig").alias(sig), F.col("rep").alias(doc))
+    pairs = near_sets.unionByName(blocked).join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").filter("ra <> rb")
+    return pairs.select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard").unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def expand(pairs: DataFrame) -> DataFrame:
+    """All pairs of near documents, for whoever wants them in spite of their number, from the rows of ``near``."""
+    stars = pairs.filter("jaccard = 1.0")
+    member = stars.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc"))
+    member = member.unionByName(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct().join(member.select("doc"), "doc", "left_anti").select(F.col("doc").alias("rep"), "doc"))
+    links = pairs.filter("jaccard < 1.0").unionByName(member.select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct())
+    x, y = (member.select(F.col("rep").alias(f"doc_{k}"), F.col("doc").alias(k)) for k in "ab")
+    wide = links.join(x, "doc_a").join(y, "doc_b").filter("a <> b and (doc_a <> doc_b or a < b)")
+    return wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard").distinct()
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -519,12 +764,37 @@ def groups(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
 
 
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **cuts) -> DataFrame:
+    """Rows (doc_id, class_id, links), one for each document: smallest id of its connected group, and n-gram sets near its own."""
+    signed, reps, near_sets, blocked = _join(docs, Options(n, threshold, **cuts), False)
+    both = near_sets.select("a", F.lit(1).cast("bigint").alias("n")).unionByName(near_sets.select(F.col("b").alias("a"), F.lit(1).cast("bigint").alias("n"))).unionByName(blocked.filter("b is null").select("a", "n"))
+    links = both.groupBy("a").agg(F.sum("n").alias("links"))
+    linked = cut(links.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("doc_id")), "a").select(F.col("a").alias("sig"), "doc_id", "links"), "jaccard-linked")
+    n_linked = linked.count()
+    rep = lambda sig, doc: small(linked.select(F.col("sig").alias(sig), F.col("doc_id").alias(doc)), n_linked, 48)
+    edges = near_sets.select("a", "b").unionByName(blocked.filter("b is not null").select("a", "b"))
+    edges = edges.join(rep("a", "doc_a"), "a").join(rep("b", "doc_b"), "b").select("doc_a", "doc_b")
+    # rows of one id with several texts join the groups of all of them
+    several = signed.join(reps, "sig").filter("rep <> doc_id").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    merged = groups(edges.unionByName(several)) if _ids_repeat(signed) else groups(edges)
+    of_set = reps.select("sig", F.col("rep").alias("doc_id")).join(merged, "doc_id", "left").select("sig", F.coalesce("group_id", "doc_id").alias("class_id"))
+    known = signed.select("doc_id", "sig").distinct().join(of_set, "sig").join(linked.select("sig", "links"), "sig", "left")
+    known = known.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    return every.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _ids_repeat(signed: DataFrame) -> bool:
+    """Whether some id has several n-gram sets."""
+    return bool(signed.groupBy("doc_id").agg((F.min("sig") < F.max("sig")).alias("two")).filter("two").head(1))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents but those that are in a group with a smaller id, with the columns they came with."""
-    gone = groups(near(docs, **options)).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents but those that are in a class with a smaller id, with the columns they came with."""
+    gone = cut(classes(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
+    return docs.join(small(gone, gone.count(), 32), docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5 over the whole documents table."""
-    return near(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op5 over the whole documents table: (doc_id, class_id, links)."""
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -38,6 +38,42 @@ def jaccard_rows(docs, n, threshold):
     return {(a, b, j) for (a, b), j in rows.items()}
 
 
+def jaccard_classes(docs, n, threshold):
+    """(id, smallest id of its group, other sets near its own) of every id that isn't null."""
+    sets = {}
+    for i, t in docs:
+        if i is not None:
+            sets.setdefault(frozenset(grams(t, n)), set()).add(i)
+    sets.pop(frozenset(), None)
+    group, links = {i: i for i, _ in docs if i is not None}, {}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    def unite(a, b):
+        a, b = sorted((root(a), root(b)))
+        group[b] = a
+
+    for g, ids in sets.items():
+        for i in ids:
+            unite(min(ids), i)
+        links[g] = 0
+    known = list(sets)
+    for x, a in enumerate(known):
+        for b in known[x + 1 :]:
+            if len(a & b) and len(a & b) + 1e-9 >= threshold * len(a | b):
+                links[a] += 1
+                links[b] += 1
+                unite(min(sets[a]), min(sets[b]))
+    total = dict.fromkeys(group, 0)
+    for g, ids in sets.items():
+        for i in ids:
+            total[i] += links[g]
+    return {(i, root(i), total[i]) for i in group}
+
+
 def exact_runs(text, item, n):
     """(position, words) of maximal runs of n or more words that agree at one alignment."""
     t, q = words(text), words(item)
