@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators.index import CHUNK
+from lexweave.operators.ranks import numbered
 
 #: Chunks in a block.
 BLOCK = 8
 
 
-def with_chunks(scored: DataFrame, size: int = CHUNK, extra: tuple[str, ...] = ()) -> DataFrame:
+def with_chunks(scored: DataFrame, size: int = CHUNK) -> DataFrame:
     """Adds chunk_no (from 0, in document order) to postings of lists."""
-    order = Window.partitionBy("term", *extra).orderBy("doc_id")
-    return scored.withColumn("chunk_no", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    return numbered(scored, "term", ["doc_id"], rank="__rank").withColumn("chunk_no", F.floor(F.col("__rank") / size).cast("int")).drop("__rank")
 
 
-def chunk_stats(scored: DataFrame, size: int = CHUNK, extra: tuple[str, ...] = ()) -> DataFrame:
+def chunk_stats(scored: DataFrame, size: int = CHUNK) -> DataFrame:
     """Rows (term, chunk_no, n, first_doc, last_doc, max_score)."""
-    return with_chunks(scored, size, extra).groupBy("term", *extra, "chunk_no").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("score").alias("max_score"))
+    return stats_of(with_chunks(scored.select("term", "doc_id", "score"), size))
+
+
+def stats_of(chunked: DataFrame) -> DataFrame:
+    return chunked.groupBy("term", "chunk_no").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("score").alias("max_score"))
 
 
 def block_stats(chunks: DataFrame, size: int = BLOCK) -> DataFrame:

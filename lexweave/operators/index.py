@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import bm25, text
+from lexweave.operators.ranks import numbered
 
 CHUNK = 128
 
@@ -49,7 +50,10 @@ class Index:
     def scored(self, postings: DataFrame | None = None) -> DataFrame:
         """Postings with df, idf and the partial score of each."""
         postings = self.postings if postings is None else postings
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.scored_with(postings, postings.groupBy("term").agg(F.count("*").alias("df")))
+
+    def scored_with(self, postings: DataFrame, df: DataFrame) -> DataFrame:
+        """The same with given document frequencies (term, df)."""
         rows = postings.join(df, "term").crossJoin(F.broadcast(self.stats))  # one row
         rows = rows.withColumn("idf", bm25.idf(F.col("df"), F.col("n_docs")))
         return rows.withColumn("score", bm25.partial(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avgdl"))).drop("n_docs", "total_len")
@@ -70,18 +74,11 @@ class Index:
         return Index(keep(self.postings), keep(self.docs), self.compat_avgdl)
 
 
-def from_tokens(tokens: DataFrame, docs: DataFrame, positions: bool = False) -> Index:
-    """An index of tokens (doc_id, position, term, doc_len) and docs."""
-    more = [text.clip_positions(F.array_sort(F.collect_list("position"))).alias("positions")] if positions else []
-    postings = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), *more)
-    return Index(postings, docs)
-
-
 def build(df: DataFrame, key: str = "doc_id", body: str = "text", fmt: str = "text", url: str | None = None, docno: str | None = None, positions: bool = False, terms: DataFrame | None = None) -> Index:
     """Index the rows of a table; ``fmt`` is text or html.
 
-    With ``terms`` (one column) only their postings are made: the filter is applied
-    to tokens, before they are grouped. Lengths are those of whole documents.
+    A document's postings are counted where it is read. With ``terms`` (one column)
+    only theirs are kept. Lengths are those of whole documents.
     """
     if fmt not in ("text", "html"):
         raise ValueError(f"unknown format: {fmt!r}")
@@ -89,11 +86,17 @@ def build(df: DataFrame, key: str = "doc_id", body: str = "text", fmt: str = "te
     named = [(F.col(docno) if docno else F.col(key).cast("string")).alias("docno"), (F.col(url) if url else F.lit(None).cast("string")).alias("url")]
     rows = df.filter(F.col(key).isNotNull())
     docs = rows.select(F.col(key).alias("doc_id"), *named, text.token_count(plain).alias("doc_len"))
-    arrays = rows.select(F.col(key).alias("doc_id"), text.token_array(plain).alias("words"))
-    tokens = arrays.select("doc_id", F.size("words").cast("bigint").alias("doc_len"), F.posexplode("words").alias("position", "term"))
+    postings = text.postings(rows, key, plain, positions)
     if terms is not None:
-        tokens = tokens.join(terms.toDF("term").distinct(), "term", "left_semi")
-    return from_tokens(tokens, docs, positions)
+        postings = postings.join(terms.toDF("term").distinct(), "term", "left_semi")
+    return Index(postings, docs)
+
+
+def context_postings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Rows (term, doc_id, tf, positions, contexts) of HTML pages: the tags that are open at each of the first positions."""
+    rows = text.html_contexts(pages, key, html)
+    places = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.slice(F.array_sort(F.collect_list(F.struct("position", "context"))), 1, text.POSITIONS).alias("p"))
+    return places.select("term", "doc_id", "tf", F.col("p.position").alias("positions"), F.col("p.context").alias("contexts"))
 
 
 def merge(indices: Sequence[Index]) -> Index:
@@ -130,29 +133,21 @@ def remap(index: Index, mapping: DataFrame) -> Index:
 def url_sorted_mapping(df: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """Rows (new_doc_id, old_doc_id, url): ids in byte order of the addresses without scheme.
 
-    Ranks are given in two steps, so that no single task holds all rows: ranges of
-    addresses are counted, and each range numbers its own rows from its offset.
+    No single task holds all rows; see ``ranks``.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("bigint").alias("old_doc_id"), text.strip_scheme(F.col(url)).alias("url"))
-    numbered = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "url", "old_doc_id").sortWithinPartitions("url", "old_doc_id")
-    part = numbered.select("old_doc_id", "url", F.spark_partition_id().alias("part"))
-    counts = part.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = Window.partitionBy("part").orderBy("url", "old_doc_id")
-    return part.join(before, "part").select((F.col("before") + F.row_number().over(inside) - 1).cast("bigint").alias("new_doc_id"), "old_doc_id", "url")
+    rows = df.select(F.col(key).cast("bigint").alias("old_doc_id"), text.strip_scheme(F.col(url)).alias("url"), F.lit("").alias("all"))
+    return numbered(rows, "all", ["url", "old_doc_id"], rank="new_doc_id").select("new_doc_id", "old_doc_id", "url")
 
 
 def with_gaps(postings: DataFrame) -> DataFrame:
     """Adds ``gap``, the distance to the document before in the list (the id itself, for the first)."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return postings.withColumn("gap", F.col("doc_id") - F.lag("doc_id", 1, 0).over(order))
+    rows = numbered(postings.select("*", F.col("doc_id").cast("bigint").alias("__doc")), "term", ["doc_id"], lag=("__before", "__doc"))
+    return rows.withColumn("gap", F.col("__doc") - F.coalesce("__before", F.lit(0))).drop("__doc", "__before")
 
 
 def without_gaps(gapped: DataFrame, order: str = "doc_no") -> DataFrame:
     """Ids again from gaps that stand in the order of a column."""
-    run = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum("gap").over(run))
+    return numbered(gapped, "term", [order], total=("doc_id", "gap"))
 
 
 def position_gaps(positions: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.bm25 import DIGITS
+from lexweave.operators.ranks import numbered
 
 LEAST = 128
 MAX_LAYERS = 8
@@ -46,8 +47,8 @@ STRATEGIES = {
 }
 
 
-def strategy(name: str, num_layers: int | None = None) -> Strategy:
-    s = STRATEGIES.get(name)
+def strategy(name: str | Strategy, num_layers: int | None = None) -> Strategy:
+    s = name if isinstance(name, Strategy) else STRATEGIES.get(name)
     if s is None:
         raise ValueError(f"unknown layering strategy: {name!r}")
     if num_layers is not None and num_layers != s.layers:
@@ -95,12 +96,15 @@ def boundaries(scored: DataFrame, s: Strategy, digits: int = DIGITS) -> DataFram
     return out.select("term", "starts")
 
 
-def layerify(scored: DataFrame, name: str = "percentage_2", num_layers: int | None = None, overlapping: bool = False, digits: int = DIGITS) -> DataFrame:
+def layerify(scored: DataFrame, name: str | Strategy = "percentage_2", num_layers: int | None = None, overlapping: bool = False, digits: int = DIGITS) -> DataFrame:
     """Postings with ``layer`` (0 has the best scores); overlapping layers repeat all better postings."""
-    s = strategy(name, num_layers)
-    order = Window.partitionBy("term").orderBy(F.desc("rounded"), "doc_id")
-    ranked = scored.withColumn("rounded", F.round("score", digits)).withColumn("rank", F.row_number().over(order) - 1)
-    joined = ranked.join(boundaries(scored, s, digits), "term")
+    ranked = numbered(scored.withColumn("rounded", F.round("score", digits)), "term", [F.desc("rounded"), "doc_id"], rank="rank")
+    return assign(ranked, name, num_layers, overlapping, digits)
+
+
+def assign(ranked: DataFrame, name: str | Strategy, num_layers: int | None = None, overlapping: bool = False, digits: int = DIGITS) -> DataFrame:
+    """The same of postings with their ``rank`` in the list (and the ``rounded`` score that it follows)."""
+    joined = ranked.join(boundaries(ranked, strategy(name, num_layers), digits), "term")
     layer = F.size(F.filter("starts", lambda x: x <= F.col("rank"))) - 1
     rows = joined.withColumn("layer", layer)
     if overlapping:
@@ -112,3 +116,8 @@ def layer_stats(layers: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Rows (term, layer, n, score_threshold): the best score of what a layer adds to those before it."""
     new = layers.groupBy("term", "doc_id").agg(F.min("layer").alias("layer"), F.max(F.round("score", digits)).alias("score")).groupBy("term", "layer").agg(F.max("score").alias("score_threshold"))
     return layers.groupBy("term", "layer").agg(F.count("*").alias("n")).join(new, ["term", "layer"])
+
+
+def df_of(parts: DataFrame, overlapping: bool = False) -> DataFrame:
+    """Rows (term, df) of whole lists from their layers (term, layer, n): the last of overlapping ones holds all."""
+    return parts.groupBy("term").agg((F.max("n") if overlapping else F.sum("n")).alias("df"))

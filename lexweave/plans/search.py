@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import text
 from lexweave.functions.bm25 import DIGITS
 from lexweave.operators.index import Index
+from lexweave.operators.store import Stored
 
 K = 10
 CANDIDATES = 200
@@ -35,6 +36,8 @@ def short_queries(queries: DataFrame, words: int, qid: str = "qid", query: str =
 
 def lists(index: Index, terms: DataFrame) -> DataFrame:
     """Scored postings of the queries: (qid, n_terms, term, doc_id, tf, doc_len, df, idf, avgdl, score)."""
+    if isinstance(index, Stored):
+        return index.of_terms(terms.select("term")).join(terms, "term")
     return index.scored(index.lookup(terms.select("term"))).join(terms, "term")
 
 
@@ -58,12 +61,9 @@ def daat_or(index: Index, terms: DataFrame, k: int = K) -> DataFrame:
 
 
 def taat_or(index: Index, terms: DataFrame, k: int = K) -> DataFrame:
-    """Accumulators: each term's partial scores are grouped on their own and then added up, with a bitmap of the terms."""
-    rows = lists(index, terms)
-    number = terms.select("qid", "term", (F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1).alias("no"))
-    partial = rows.join(number, ["qid", "term"]).groupBy("qid", "doc_id", "no").agg(F.sum("score").alias("score"))
-    acc = partial.groupBy("qid", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.bit_or(F.expr("shiftleft(1L, no)")).alias("terms"))
-    return top(acc.filter("terms <> 0"), k)
+    """Accumulators: each term's partial scores are added to what the terms before gave the document."""
+    acc = lists(index, terms).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
+    return top(acc, k)
 
 
 def daat_and(index: Index, terms: DataFrame, k: int = K) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The corpus is ``documents`` (plain text) or ``pages`` (HTML); each row of
 ``benchmark`` is a query of a long log, its first three distinct tokens one of a
-short log.
+short log for conjunctions. Queries about the making of an index make one; searches,
+and all else that reads one, read a stored index, built at its first use.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import codecs, text
-from lexweave.operators import chunks, index as ix, layers
+from lexweave.operators import chunks, index as ix, layers, store
+from lexweave.operators.ranks import numbered
 from lexweave.plans import pruning, search
+from lexweave.session import work_path
 from lexweave.sources import collections as col, querylog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,9 +61,10 @@ def _full(spark: SparkSession, d: str, positions: bool = False) -> ix.Index:
     return ix.build(_docs(spark, d), positions=positions)
 
 
-def _part(spark: SparkSession, d: str, terms: DataFrame, positions: bool = False) -> ix.Index:
-    """An index of the queries' terms alone."""
-    return ix.build(_docs(spark, d), positions=positions, terms=terms.select("term"))
+def _store(spark: SparkSession, d: str, layering: str | None = None) -> store.Stored:
+    """The stored index of the documents, with positions."""
+    docs = _docs(spark, d)
+    return store.once(ix.build(docs, positions=True), docs, ("documents", "positions"), layering)
 
 
 # --- SQL building blocks -------------------------------------------------------
@@ -98,7 +102,7 @@ def _and_sql(q: str) -> str:
     return f"WITH {_TOK}, {q}, {_QT}, {_HITS} {_TOP % '(SELECT * FROM hits WHERE held = n_terms)'}"
 
 
-# --- text ----------------------------------------------------------------------
+# --- text
 @query("tokenize_documents", f"WITH {_TOK} SELECT doc_id, position, term FROM tok")
 def _(spark, d):
     return text.tokens(_docs(spark, d))
@@ -132,7 +136,7 @@ def _(spark, d):
     return text.html_links(_pages(spark, d))
 
 
-# --- index ---------------------------------------------------------------------
+# --- index
 @query("postings_tf", f"WITH {_TOK} SELECT term, doc_id, tf FROM post")
 def _(spark, d):
     return _full(spark, d).postings.select("term", "doc_id", "tf")
@@ -187,7 +191,7 @@ def _(spark, d):
     return ix.count_postings(_full(spark, d))
 
 
-# --- queries and logs ------------------------------------------------------------
+# --- queries and logs
 @query("query_normalise", f"WITH {_LONG} SELECT qid, array_to_string({_norm('query')}, ' ') AS terms FROM q")
 def _(spark, d):
     return _long(spark, d).select("qid", F.array_join(text.normalise_query(F.col("query")), " ").alias("terms"))
@@ -201,7 +205,7 @@ def _(spark, d):
 @query("query_lexicon_check", f"WITH {_TOK}, {_LONG}, {_QT} SELECT qid, CAST(count(*) AS INTEGER) AS n_terms, CAST(count(l.term) AS INTEGER) AS n_known, count(*) = count(l.term) AS runs FROM qt LEFT JOIN lex l USING (term) GROUP BY qid")
 def _(spark, d):
     t = search.query_terms(_long(spark, d))
-    return search.lexicon_check(_part(spark, d, t), t)
+    return search.lexicon_check(_store(spark, d), t)
 
 
 _NWORDS = "len(list_filter(string_split_regex(trim(query, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), lambda x: x <> ''))"
@@ -230,17 +234,13 @@ def _(spark, d):
     return b.select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(":"), "text").alias("line")).select("item_id", F.regexp_replace(F.regexp_replace(querylog.to_ascii("line"), r"^[0-9]+:", ""), "[^a-zA-Z0-9 ]", " ").alias("query"))
 
 
-# --- search ----------------------------------------------------------------------
-def _search(plan: Callable, log: Callable, **options) -> Callable:
-    def run(spark, d):
-        t = search.query_terms(log(spark, d))
-        return plan(_part(spark, d, t, **options), t)
-
-    return run
+# --- search
+def _search(plan: Callable, log: Callable, layering: str | None = None) -> Callable:
+    return lambda spark, d: plan(_store(spark, d, layering), search.query_terms(log(spark, d)))
 
 
 _single_log = lambda spark, d: _one(spark, SINGLE)
-for _name, _plan, _log, _sql in (
+for _name, _plan, _log, _sql, *_more in (
     ("daat_or_single", search.daat_or, _single_log, _or_sql(_SINGLE)),
     ("daat_or_batch", search.daat_or, _long, _or_sql(_LONG)),
     ("taat_or", search.taat_or, _long, _or_sql(_LONG)),
@@ -248,36 +248,33 @@ for _name, _plan, _log, _sql in (
     ("daat_and_batch", search.daat_and, _short, _and_sql(_SHORT)),
     ("daat_and_long", search.daat_and, _long, _and_sql(_LONG)),
     ("wand", pruning.wand, _long, _or_sql(_LONG)),
-    ("dual_layered_wand", pruning.dual_wand, _long, _or_sql(_LONG)),
+    ("dual_layered_wand", pruning.dual_wand, _long, _or_sql(_LONG), "percentage_2"),
     ("max_score", pruning.max_score, _long, _or_sql(_LONG)),
-    ("dual_layered_max_score", pruning.dual_max_score, _long, _or_sql(_LONG)),
+    ("dual_layered_max_score", pruning.dual_max_score, _long, _or_sql(_LONG), "percentage_2"),
     ("max_score_chunk_skip", pruning.chunk_skip, _long, _or_sql(_LONG)),
-    ("multi_layered_or", pruning.multi_or, _long, _or_sql(_LONG)),
-    ("multi_layered_max_score", pruning.multi_max_score, _long, _or_sql(_LONG)),
-    ("layered_taat", pruning.layered_taat, _short, _or_sql(_SHORT)),
-    ("layered_taat_long", pruning.layered_taat, _long, _or_sql(_LONG)),
-    ("dual_layered_and", pruning.dual_and, _short, _and_sql(_SHORT)),
-    ("dual_layered_merge_and", pruning.dual_merge_and, _short, _and_sql(_SHORT)),
+    ("multi_layered_or", pruning.multi_or, _long, _or_sql(_LONG), "percentage_8"),
+    ("multi_layered_max_score", pruning.multi_max_score, _long, _or_sql(_LONG), "percentage_8"),
+    ("layered_taat", pruning.layered_taat, _long, _or_sql(_LONG), "percentage_8"),
+    ("layered_taat_single", pruning.layered_taat, _single_log, _or_sql(_SINGLE), "percentage_8"),
+    ("dual_layered_and", pruning.dual_and, _short, _and_sql(_SHORT), "percentage_2"),
+    ("dual_layered_merge_and", pruning.dual_merge_and, _short, _and_sql(_SHORT), "percentage_2"),
 ):
-    query(_name, _sql)(_search(_plan, _log))
+    query(_name, _sql)(_search(_plan, _log, *_more))
 
 
 @query("single_term_topk", _or_sql("q AS (SELECT CAST(1 AS BIGINT) AS qid, 'the' AS query)"))
 def _(spark, d):
-    t = search.query_terms(_one(spark, "the"))
-    return search.daat_or(_part(spark, d, t), t)
+    return search.daat_or(_store(spark, d), search.query_terms(_one(spark, "the")))
 
 
 @query("and_missing_term_empty", _and_sql("q AS (SELECT CAST(1 AS BIGINT) AS qid, 'the nosuchwordatall' AS query)"))
 def _(spark, d):
-    t = search.query_terms(_one(spark, "the nosuchwordatall"))
-    return search.daat_and(_part(spark, d, t), t)
+    return search.daat_and(_store(spark, d), search.query_terms(_one(spark, "the nosuchwordatall")))
 
 
 @query("default_algorithm", _and_sql(_SHORT))
 def _(spark, d):
-    q = _short(spark, d)
-    return search.search(_part(spark, d, search.query_terms(q)), q, "default")
+    return search.search(_store(spark, d), _short(spark, d), "default")
 
 
 @query("daat_and_top_positions", f"""WITH {_TOK}, {_SHORT}, {_QT}, {_HITS},
@@ -288,52 +285,50 @@ a AS (SELECT x.qid, x.doc_id, x.term, any_value(x.idf) AS idf, any_value(x.doc_l
 b AS (SELECT qid, doc_id, sum(least(1.0, idf) * acc * 3.0 / (acc + 0.5 + 1.5 * doc_len / avgdl)) AS b FROM a GROUP BY qid, doc_id),
 f AS (SELECT c.qid, c.doc_id, round(base + coalesce(b, 0), 6) AS score FROM c LEFT JOIN b USING (qid, doc_id)) {_TOP % 'f'}""")
 def _(spark, d):
-    t = search.query_terms(_short(spark, d))
-    return search.top_positions(_part(spark, d, t, positions=True), t)
-
+    return search.top_positions(_store(spark, d), search.query_terms(_short(spark, d)))
 
-def _union(log: Callable) -> Callable:
-    def run(spark, d):
-        t = search.query_terms(log(spark, d))
-        return search.union_docids(_part(spark, d, t), t)
 
-    return run
+@query("union_docids", f"WITH {_TOK}, {_LONG}, {_QT} SELECT DISTINCT qid, doc_id FROM qt JOIN post USING (term)")
+def _(spark, d):
+    return search.union_docids(_store(spark, d), search.query_terms(_long(spark, d)))
 
 
-for _name, _log, _sql in (("union_docids", _short, _SHORT), ("union_docids_long", _long, _LONG)):
-    query(_name, f"WITH {_TOK}, {_sql}, {_QT} SELECT DISTINCT qid, doc_id FROM qt JOIN post USING (term)")(_union(_log))
+@query("taat_layers_read")
+def _(spark, d):
+    """What the early-terminated disjunction reads of each query: a record of the plan, which SQL doesn't have."""
+    return pruning.taat_steps(_store(spark, d, "percentage_8"), search.query_terms(_long(spark, d)))[2]
 
 
 @query("intersect_docids", f"WITH {_TOK}, {_SHORT}, {_QT} SELECT qid, doc_id FROM qt JOIN post USING (term) GROUP BY qid, doc_id HAVING count(*) = any_value(n_terms)")
 def _(spark, d):
     t = search.query_terms(_short(spark, d))
-    return search.intersect_docids(_part(spark, d, t), t)
+    return search.intersect_docids(_store(spark, d), t)
 
 
 @query("match_counts", f"WITH {_TOK}, {_LONG}, {_QT} SELECT qid, count(*) AS n_matches FROM (SELECT DISTINCT qid, doc_id FROM qt JOIN post USING (term)) GROUP BY qid")
 def _(spark, d):
     t = search.query_terms(_long(spark, d))
-    return search.match_counts(_part(spark, d, t), t)
+    return search.match_counts(_store(spark, d), t)
 
 
 @query("query_metrics", f"""WITH {_TOK}, {_LONG}, {_QT}, h AS (SELECT qid, doc_id, count(*) AS held FROM qt JOIN post USING (term) GROUP BY ALL), n AS (SELECT qid, CAST(sum(held) AS BIGINT) AS n_postings, count(*) AS n_matches FROM h GROUP BY qid)
 SELECT qid, count(*) AS n_terms, coalesce(any_value(n_postings), 0) AS n_postings, coalesce(any_value(n_matches), 0) AS n_matches FROM qt LEFT JOIN n USING (qid) GROUP BY qid""")
 def _(spark, d):
     t = search.query_terms(_long(spark, d))
-    return search.query_metrics(_part(spark, d, t), t)
+    return search.query_metrics(_store(spark, d), t)
 
 
 @query("kth_score", f"WITH {_TOK}, {_LONG}, {_QT}, {_HITS} SELECT qid, score AS theta FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS r FROM hits) WHERE r = {K}")
 def _(spark, d):
     t = search.query_terms(_long(spark, d))
-    return pruning.kth(search.summed(search.lists(_part(spark, d, t), t)), K)
+    return pruning.kth(search.summed(search.lists(_store(spark, d), t)), K)
 
 
 def _formatted(fmt: str) -> Callable:
     def run(spark, d):
         q = _long(spark, d)
         t = search.query_terms(q)
-        i = _part(spark, d, t)
+        i = _store(spark, d)
         return search.format_results(search.daat_or(i, t), i, fmt, "lexweave", q)
 
     return run
@@ -346,14 +341,20 @@ query("result_trec_format", f"{_RESULT} SELECT qid, rank, concat_ws(chr(9), CAST
 query("result_compare_format", f"{_RESULT} SELECT qid, rank, concat_ws(chr(9), printf('%.6f', score), CAST(doc_id AS VARCHAR)) AS line FROM r UNION ALL SELECT q.qid, CAST(-1 AS INTEGER) AS rank, concat_ws(chr(9), q.query, CAST((SELECT count(*) FROM r WHERE r.qid = q.qid) AS VARCHAR)) AS line FROM q")(_formatted("compare"))
 
 
-# --- layers, chunks, seeks ---------------------------------------------------------
-def _layers_sql(name: str, overlapping: bool = False) -> str:
+# --- layers, chunks, seeks
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).postings.select("term", "doc_id", "tf", "score")
+
+
+def _layers_sql(name: str | layers.Strategy, overlapping: bool = False) -> str:
     s = layers.strategy(name)
     ctes = ["rk AS (SELECT term, doc_id, tf, round(score, 6) AS score, row_number() OVER (PARTITION BY term ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM sc)", "rn AS (SELECT term, list_sort(list(e)) AS ends, max(e) AS n FROM (SELECT term, score, max(rank) + 1 AS e FROM rk GROUP BY ALL) GROUP BY term)", "b0 AS (SELECT term, ends, n, CAST(0 AS BIGINT) AS s0 FROM rn)"]
     for i in range(s.layers):
         last = i == s.layers - 1
         if s.shares:
             size = f"CAST(floor({s.shares[i] / 100.0!r}::DOUBLE * n) AS BIGINT)"
+            if s.most and s.most[i]:
+                size = f"least({size}, {s.most[i]})"
         else:
             low = [*s.steps]
             while len(low) <= i:
@@ -375,9 +376,9 @@ def _layers_sql(name: str, overlapping: bool = False) -> str:
     return f"WITH {_TOK}, {', '.join(ctes)} SELECT term, CAST(layer AS INTEGER) AS layer, doc_id, tf, score FROM {'lo' if overlapping else 'ly'}"
 
 
-def _layered(name: str, overlapping: bool = False) -> Callable:
+def _layered(name: str | layers.Strategy, overlapping: bool = False) -> Callable:
     def run(spark, d):
-        return layers.layerify(_full(spark, d).scored(), name, overlapping=overlapping).select("term", "layer", "doc_id", "tf", F.round("score", 6).alias("score"))
+        return layers.layerify(_scored(spark, d), name, overlapping=overlapping).select("term", "layer", "doc_id", "tf", F.round("score", 6).alias("score"))
 
     return run
 
@@ -386,12 +387,21 @@ for _kind in ("equal", "percentage", "exponential"):
     for _n in (2, 4, 8):
         query(f"layers_{_kind}_{_n}", _layers_sql(f"{_kind}_{_n}"))(_layered(f"{_kind}_{_n}"))
 query("layers_overlapping_2", _layers_sql("percentage_2", True))(_layered("percentage_2", True))
-query("layers_percentage_lower_bounded", _layers_sql("percentage-lower-bounded"))(_layered("percentage-lower-bounded"))
+for _kind in ("percentage-lower-bounded", "percentage-lower-upper-bounded", "exponentially-increasing"):
+    query(f"layers_{_kind.replace('-', '_')}", _layers_sql(_kind))(_layered(_kind))
+# the same rules with bounds that lists of this size reach
+_LOW = {
+    "exponential_4": layers.Strategy(4, least=(130,) * 4, steps=(64, 140)),
+    "exponential_8": layers.Strategy(8, least=(1,) * 8, steps=(8, 16)),
+    "percentage_lower_upper_bounded": layers.Strategy(6, (5.0, 5.0, 10.0, 15.0, 25.0, 40.0), most=(140, 200, 0, 0, 0, 0)),
+}
+for _kind, _strategy in _LOW.items():
+    query(f"layers_{_kind}_low", _layers_sql(_strategy))(_layered(_strategy))
 
 
 @query("layer_stats", f"SELECT term, layer, count(*) AS n, max(score) AS score_threshold FROM ({_layers_sql('percentage_4')}) GROUP BY ALL")
 def _(spark, d):
-    return layers.layer_stats(layers.layerify(_full(spark, d).scored(), "percentage_4"))
+    return layers.layer_stats(layers.layerify(_scored(spark, d), "percentage_4"))
 
 
 _CHUNKS = "nk AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 128) AS INTEGER) AS chunk_no FROM sc), ck AS (SELECT term, chunk_no, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc, max(score) AS max_score FROM nk GROUP BY ALL)"
@@ -400,17 +410,17 @@ _rounded = lambda df: df.withColumn("max_score", F.round("max_score", 6))  # noq
 
 @query("chunk_stats", f"WITH {_TOK}, {_CHUNKS} SELECT * REPLACE (round(max_score, 6) AS max_score) FROM ck")
 def _(spark, d):
-    return _rounded(chunks.chunk_stats(_full(spark, d).scored()))
+    return _rounded(chunks.chunk_stats(_scored(spark, d)))
 
 
 @query("block_stats", f"WITH {_TOK}, {_CHUNKS} SELECT term, CAST(floor(chunk_no / {chunks.BLOCK}) AS INTEGER) AS block_no, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_chunks, min(first_doc) AS first_doc, max(last_doc) AS last_doc, round(max(max_score), 6) AS max_score FROM ck GROUP BY ALL")
 def _(spark, d):
-    return _rounded(chunks.block_stats(chunks.chunk_stats(_full(spark, d).scored())))
+    return _rounded(chunks.block_stats(chunks.chunk_stats(_scored(spark, d))))
 
 
 @query("list_max_scores", f"WITH {_TOK} SELECT term, count(*) AS df, round(max(score), 6) AS max_score FROM sc GROUP BY term")
 def _(spark, d):
-    return _rounded(chunks.list_max_scores(_full(spark, d).scored()))
+    return _rounded(_store(spark, d).lists.select("term", "df", "max_score"))
 
 
 # every query term seeks every tenth of the id range
@@ -422,46 +432,82 @@ def _seeks(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().crossJoin(F.broadcast(last)).select("term", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i"), "m").select("term", F.floor(F.col("m") * F.col("i") / 10.0).cast("bigint").alias("target")).distinct()
 
 
-def _next_geq(log: Callable) -> Callable:
-    def run(spark, d):
-        t = search.query_terms(log(spark, d))
-        return chunks.next_geq(_part(spark, d, t).postings, _seeks(spark, d, t))
+@query("next_geq", f"WITH {_TOK}, {_LONG}, {_QT}, {_SEEK} SELECT term, target, (SELECT min(doc_id) FROM post p WHERE p.term = sk.term AND p.doc_id >= target) AS doc_id FROM sk")
+def _(spark, d):
+    t = search.query_terms(_long(spark, d))
+    return chunks.next_geq(_store(spark, d).lookup(t.select("term")), _seeks(spark, d, t))
 
-    return run
 
+@query("next_greater_chunk_score", f"WITH {_TOK}, {_CHUNKS}, {_LONG}, {_QT}, {_SEEK} SELECT term, target, CAST(0.5 AS DOUBLE) AS bound, (SELECT min(first_doc) FROM ck WHERE ck.term = sk.term AND first_doc > target AND max_score > 0.5) AS doc_id FROM sk")
+def _(spark, d):
+    t = search.query_terms(_long(spark, d))
+    return chunks.next_greater_chunk(_store(spark, d).chunks, _seeks(spark, d, t).withColumn("bound", F.lit(0.5)))
 
-def _next_greater_chunk(log: Callable) -> Callable:
-    def run(spark, d):
-        t = search.query_terms(log(spark, d))
-        stats = chunks.chunk_stats(_part(spark, d, t).scored())
-        return chunks.next_greater_chunk(stats, _seeks(spark, d, t).withColumn("bound", F.lit(0.5)))
 
-    return run
+@query("next_greater_block_score", f"WITH {_TOK}, {_CHUNKS}, {_LONG}, {_QT}, {_SEEK}, bl AS (SELECT term, floor(chunk_no / {chunks.BLOCK}) AS b, min(first_doc) AS first_doc, max(max_score) AS max_score FROM ck GROUP BY ALL) SELECT term, target, CAST(0.5 AS DOUBLE) AS bound, (SELECT min(first_doc) FROM bl WHERE bl.term = sk.term AND first_doc > target AND max_score > 0.5) AS doc_id FROM sk")
+def _(spark, d):
+    t = search.query_terms(_long(spark, d))
+    return chunks.next_greater_chunk(chunks.block_stats(_store(spark, d).chunks), _seeks(spark, d, t).withColumn("bound", F.lit(0.5)))
 
 
-def _score_bound(log: Callable) -> Callable:
-    def run(spark, d):
-        t = search.query_terms(log(spark, d))
-        return _rounded(chunks.score_bounds(chunks.chunk_stats(_part(spark, d, t).scored()), _seeks(spark, d, t)))
+@query("chunk_score_bound", f"WITH {_TOK}, {_CHUNKS}, {_LONG}, {_QT}, {_SEEK} SELECT term, target, round(max_score, 6) AS max_score FROM sk JOIN ck USING (term) WHERE target BETWEEN first_doc AND last_doc")
+def _(spark, d):
+    t = search.query_terms(_long(spark, d))
+    return _rounded(chunks.score_bounds(_store(spark, d).chunks, _seeks(spark, d, t)))
+
+
+# --- the stored index
+@query("stored_scan", f"WITH {_TOK} SELECT term, doc_id, tf, doc_len, round(score, 6) AS score FROM sc")
+def _(spark, d):
+    return _store(spark, d).postings.select("term", "doc_id", "tf", "doc_len", F.round("score", 6).alias("score"))
 
-    return run
+
+@query("stored_term", f"WITH {_TOK} SELECT doc_id, tf, round(score, 6) AS score FROM sc WHERE term = 'the'")
+def _(spark, d):
+    return _store(spark, d).term("the").select("doc_id", "tf", F.round("score", 6).alias("score"))
+
+
+@query("stored_layers", _layers_sql("percentage_2"))
+def _(spark, d):
+    return _store(spark, d, "percentage_2").postings.select("term", "layer", "doc_id", "tf", F.round("score", 6).alias("score"))
+
+
+@query("stored_layer_bounds", f"SELECT term, layer, count(*) AS n, max(score) AS max_score FROM ({_layers_sql('percentage_8')}) GROUP BY ALL")
+def _(spark, d):
+    return _rounded(_store(spark, d, "percentage_8").parts.select("term", "layer", "n", "max_score"))
 
 
-for _suffix, _log, _sql in (("", _short, _SHORT), ("_long", _long, _LONG)):
-    query(f"next_geq{_suffix}", f"WITH {_TOK}, {_sql}, {_QT}, {_SEEK} SELECT term, target, (SELECT min(doc_id) FROM post p WHERE p.term = sk.term AND p.doc_id >= target) AS doc_id FROM sk")(_next_geq(_log))
-    query(f"next_greater_chunk_score{_suffix}", f"WITH {_TOK}, {_CHUNKS}, {_sql}, {_QT}, {_SEEK} SELECT term, target, CAST(0.5 AS DOUBLE) AS bound, (SELECT min(first_doc) FROM ck WHERE ck.term = sk.term AND first_doc > target AND max_score > 0.5) AS doc_id FROM sk")(_next_greater_chunk(_log))
-    query(f"chunk_score_bound{_suffix}", f"WITH {_TOK}, {_CHUNKS}, {_sql}, {_QT}, {_SEEK} SELECT term, target, round(max_score, 6) AS max_score FROM sk JOIN ck USING (term) WHERE target BETWEEN first_doc AND last_doc")(_score_bound(_log))
+@query("df_from_layers", f"WITH {_TOK} SELECT term, df FROM lex")
+def _(spark, d):
+    return layers.df_of(_store(spark, d, "percentage_8").parts)
+
+
+@query("stored_recompressed", f"WITH {_TOK} SELECT term, doc_id, tf FROM post")
+def _(spark, d):
+    path = work_path(spark, "recompressed")
+    i = _store(spark, d)
+    ix.Index(i.postings.select("term", "doc_id", "tf", "doc_len"), i.docs).save(path, "gzip")
+    return ix.Index.load(spark, path).postings.select("term", "doc_id", "tf")
+
+
+@query("merge_groups", f"WITH {_TOK} SELECT term, doc_id, tf FROM post")
+def _(spark, d):
+    base = work_path(spark, "groups")
+    for n, i in enumerate(_by_source(spark, d)):
+        i.save(f"{base}/{n}")
+    ix.merge_groups(spark, f"{base}/0\n{base}/1\n{base}/01\n\n{base}/01\n{base}/2\n{base}/all\n")
+    return ix.Index.load(spark, f"{base}/all").postings.select("term", "doc_id", "tf")
 
 
-# --- transformations -----------------------------------------------------------------
+# --- transformations
 @query("dgap_encode", f"WITH {_TOK} SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM post")
 def _(spark, d):
-    return ix.with_gaps(_full(spark, d).postings).select("term", "doc_id", "gap")
+    return ix.with_gaps(_store(spark, d).postings.select("term", "doc_id", "tf")).select("term", "doc_id", "gap")
 
 
 @query("dgap_roundtrip", f"WITH {_TOK} SELECT term, doc_id, tf FROM post")
 def _(spark, d):
-    g = ix.with_gaps(_full(spark, d).postings).select("term", "tf", "gap", F.col("doc_id").alias("doc_no"))
+    g = ix.with_gaps(_store(spark, d).postings.select("term", "doc_id", "tf")).select("term", "tf", "gap", F.col("doc_id").alias("doc_no"))
     return ix.without_gaps(g).select("term", "doc_id", "tf")
 
 
@@ -496,22 +542,22 @@ def _(spark, d):
 
 @query("index_cat_term", f"WITH {_TOK}, r AS (SELECT term, doc_id, position, row_number() OVER (PARTITION BY term, doc_id ORDER BY position) AS n, count(*) OVER (PARTITION BY term, doc_id) AS tf, position - lag(position, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY position) AS gap FROM tok WHERE term = 'the') SELECT term, doc_id, '(' || doc_id || ', ' || any_value(tf) || ', <' || string_agg(CAST(gap AS VARCHAR), ', ' ORDER BY position) || '>)' AS line FROM r WHERE n <= 64 GROUP BY term, doc_id")
 def _(spark, d):
-    return ix.cat(_full(spark, d, positions=True), "the")
+    return ix.cat(_store(spark, d), "the")
 
 
 @query("retrieve_docids", f"WITH {_TOK} SELECT doc_id FROM post WHERE term = 'the'")
 def _(spark, d):
-    return ix.retrieve(_full(spark, d), "the", "doc_ids")
+    return ix.retrieve(_store(spark, d), "the", "doc_ids")
 
 
 @query("retrieve_freqs", f"WITH {_TOK} SELECT doc_id, tf FROM post WHERE term = 'the'")
 def _(spark, d):
-    return ix.retrieve(_full(spark, d), "the", "frequencies")
+    return ix.retrieve(_store(spark, d), "the", "frequencies")
 
 
 @query("retrieve_positions", f"WITH {_TOK} SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS n FROM tok WHERE term = 'the') WHERE n <= 64")
 def _(spark, d):
-    return ix.retrieve(_full(spark, d, positions=True), "the", "positions")
+    return ix.retrieve(_store(spark, d), "the", "positions")
 
 
 _MAP = "m AS (SELECT row_number() OVER (ORDER BY regexp_replace(url, '^https?://', ''), page_id) - 1 AS new_doc_id, page_id AS old_doc_id, regexp_replace(url, '^https?://', '') AS url FROM pages)"
@@ -541,12 +587,45 @@ def _(spark, d):
     return search.daat_or(back, search.query_terms(_one(spark, SINGLE)))
 
 
+@query("result_normal_pages", f"WITH {_PAGE_TOK}, {_PAGE_SC}, {_SINGLE}, {_QT}, {_HITS}, r AS ({_TOP % 'hits'}) SELECT r.qid, r.rank, concat_ws(chr(9), printf('%.6f', r.score), CAST(r.doc_id AS VARCHAR), p.url) AS line FROM r JOIN pages p ON p.page_id = r.doc_id")
+def _(spark, d):
+    i = ix.build(_pages(spark, d), "page_id", "html", "html", "url")
+    return search.format_results(search.daat_or(i, search.query_terms(_one(spark, SINGLE))), i)
+
+
+@query("url_dump", "SELECT page_id AS doc_id, url FROM pages WHERE page_id IS NOT NULL")
+def _(spark, d):
+    return ix.build(_pages(spark, d), "page_id", "html", "html", "url").docs.select("doc_id", "url")
+
+
+_SHIFTED = "w3 AS (SELECT doc_id, regexp_extract_all('x ' || text, '[0-9A-Za-z]+') AS w FROM documents), t3 AS (SELECT doc_id, lower(unnest(w)) AS term, CAST(unnest(range(len(w))) AS INTEGER) AS position FROM w3)"
+_LISTS = "SELECT term, doc_id, count(*) AS tf, list(position ORDER BY position)[1:64] AS p FROM %s GROUP BY ALL"
+
+
+@query("index_diff_positions", f"""WITH {_TOK}, {_SHIFTED}, a AS ({_LISTS % 'tok'}), b AS ({_LISTS % 't3'})
+SELECT term, doc_id, a.tf AS tf_a, b.tf AS tf_b, CASE WHEN b.tf IS NULL THEN 'first' WHEN a.tf IS NULL THEN 'second' WHEN a.tf <> b.tf THEN 'frequency' ELSE 'positions' END AS kind,
+CASE WHEN a.tf IS NOT NULL AND b.tf IS NOT NULL THEN CAST(len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) AS INTEGER) END AS n_only_a FROM a FULL JOIN b USING (term, doc_id) WHERE a.tf IS DISTINCT FROM b.tf OR a.p <> b.p""")
+def _(spark, d):
+    docs = _docs(spark, d)
+    other = docs.withColumn("text", F.concat(F.lit("x "), "text"))
+    rows = ix.diff(ix.build(docs, positions=True), ix.build(other, positions=True))
+    both = F.col("tf_a").isNotNull() & F.col("tf_b").isNotNull()
+    return rows.select("term", "doc_id", "tf_a", "tf_b", "kind", F.when(both, F.size("only_a")).alias("n_only_a"))
+
+
+@query("index_contexts", _context_sql().replace("SELECT doc_id, CAST(row_number()", "SELECT term, doc_id, count(*) AS tf, string_agg(position || ':' || context, ',' ORDER BY position) AS places FROM (SELECT doc_id, CAST(row_number()", 1) + ") GROUP BY term, doc_id HAVING count(*) <= 64")
+def _(spark, d):
+    rows = ix.context_postings(_pages(spark, d)).filter(F.col("tf") <= text.POSITIONS)
+    place = F.transform(F.arrays_zip("positions", "contexts"), lambda x: F.concat_ws(":", x["positions"].cast("string"), x["contexts"].cast("string")))
+    return rows.select("term", "doc_id", "tf", F.array_join(place, ",").alias("places"))
+
+
 @query("strip_scheme", "SELECT page_id, regexp_replace(url, '^https?://', '') AS url FROM pages")
 def _(spark, d):
     return _pages(spark, d).select("page_id", text.strip_scheme(F.col("url")).alias("url"))
 
 
-# --- codecs -----------------------------------------------------------------------------
+# --- codecs
 _ARRAYS = "ga AS (SELECT term, chunk_no, list(gap ORDER BY doc_id) AS v FROM (SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 128) AS INTEGER) AS chunk_no FROM post) GROUP BY ALL)"
 _SIZES = {
     "null": "len(v)",
@@ -559,7 +638,9 @@ _WIDTH = "wb AS (SELECT *, CASE WHEN b <= 13 THEN b WHEN b <= 16 THEN 16 WHEN b
 
 def _arrays(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of each chunk of each list, in document order."""
-    p = chunks.with_chunks(ix.with_gaps(_full(spark, d).postings))
+    rows = _store(spark, d).postings.select("term", F.col("doc_id").cast("bigint").alias("doc_id"))
+    p = numbered(rows, "term", ["doc_id"], rank="rank", lag=("before", "doc_id"))
+    p = p.select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", F.lit(0))).alias("gap"), F.floor(F.col("rank") / ix.CHUNK).cast("int").alias("chunk_no"))
     return p.groupBy("term", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))).alias("v")).select("term", "chunk_no", F.col("v.gap").alias("v"))
 
 
@@ -586,7 +667,7 @@ for _name in codecs.CODECS:
     query(f"codec_{_name.replace('-', '')}_roundtrip", f"WITH {_TOK}, {_ARRAYS} SELECT term, chunk_no, CAST(len(v) AS BIGINT) AS n, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), v), lambda acc, x: (acc * 31 + x) % 1000003) AS BIGINT) AS checksum FROM ga")(_round_trip(_name))
 
 
-# --- collections ----------------------------------------------------------------------------
+# --- collections
 _ROUND = "SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_id, CAST(page_id AS VARCHAR) AS docno, url, length(html) AS chars, md5(html) AS digest FROM pages"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
-from lexweave.operators import chunks, index as ix, layers
+from lexweave.operators import chunks, index as ix, layers, ranks, store
 from lexweave.plans import pruning, search
 
 DOCS = [(0, "a b a"), (1, "b c"), (2, "A-b é c"), (3, ""), (4, None)]
@@ -117,3 +117,54 @@ def test_save_and_load(spark, corpus, tmp_path):
     again = ix.Index.load(spark, str(tmp_path / "i"))
     assert rows(again.postings, "term", "doc_id", "tf") == rows(i.postings, "term", "doc_id", "tf")
     assert rows(again.stats) == rows(i.stats)
+
+
+@pytest.fixture(scope="module")
+def stored(big, tmp_path_factory):
+    return store.write(big, str(tmp_path_factory.mktemp("store") / "i"))
+
+
+@pytest.mark.parametrize("plan", [pruning.wand, pruning.max_score, pruning.chunk_skip])
+def test_plans_over_a_stored_index(big, stored, asked, plan):
+    for k in (1, 7, 900):
+        assert rows(plan(stored, asked, k)) == rows(search.daat_or(big, asked, k))
+
+
+def test_a_term_filter_reaches_the_scan(stored):
+    plan = stored.term("t7")._jdf.queryExecution().toString()
+    assert "EqualTo(term,t7)" in plan.split("PushedFilters")[1]
+    few = search.lists(stored, stored.docs.sparkSession.createDataFrame([(1, 2, "t7"), (1, 2, "t9")], "qid long, n_terms int, term string"))
+    assert "In(term, [t7,t9])" in few._jdf.queryExecution().toString()
+
+
+def test_layers_end_early_where_the_best_are_decided(spark, tmp_path):
+    # a rare term decides the k best at once; the long list can't lift any other document among them
+    docs = [(i, ("rare " * (30 - i) if i < 3 else "") + "common " * (1 + i % 5) + "x " * (20 + i % 50)) for i in range(3000)]
+    i = ix.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = search.query_terms(spark.createDataFrame([(1, "rare common"), (2, "nowhere"), (3, "common")], "qid long, query string"))
+    s = store.write(i, str(tmp_path / "i"), "percentage_8")
+    assert rows(pruning.layered_taat(s, asked, 2)) == rows(search.daat_or(i, asked, 2))
+    read = {r.qid: r for r in pruning.taat_steps(s, asked, 2)[2].collect()}
+    assert read[1].early_terminated and read[1].layers < 8 and read[1].postings < 3003
+    assert read[2].postings == 0
+
+
+def test_numbers_of_long_lists_go_on_over_ranges(spark):
+    values = [("a" if i % 7 else f"z{i % 11}", i * 37 % 5003) for i in range(5000)]
+    df = spark.createDataFrame(values, "term string, v long")
+    want, held = {}, {}
+    for t, v in sorted(values):
+        seen = held.setdefault(t, [])
+        want[t, v] = (len(seen), seen[-1] if seen else None, sum(seen) + v)
+        seen.append(v)
+    got = ranks.numbered(df, "term", ["v"], rank="r", lag=("before", "v"), total=("sum", "v")).collect()
+    assert {(r.term, r.v): (r.r, r.before, r.sum) for r in got} == want
+    assert ranks.numbered(df.limit(0), "term", ["v"], rank="r").count() == 0
+
+
+def test_legacy_layerings(spark, big):
+    for name in ("percentage-lower-upper-bounded", "exponentially-increasing", layers.Strategy(3, (10.0, 20.0, 70.0), most=(150, 0, 0))):
+        got = layers.layerify(big.scored(), name)
+        assert got.count() == big.postings.count()
+    sizes = {r.layer: r["count"] for r in got.filter("term = 't1'").groupBy("layer").count().collect()}
+    assert sum(sizes.values()) == 700 and sizes[0] >= layers.LEAST
