@@ -55,8 +55,8 @@ from lexweave.session import cut, ship, small
 
 N = 5
 THRESHOLD = 0.4
-#: Entries (n-grams of sets) that one fragment or part should hold; sets how many there are.
-PART = 750_000
+#: Entries (n-grams of sets) that a fragment of all keys should hold, and one of the global order or a part; sets how many there are.
+FRAGMENT, PART = 2_000_000, 750_000
 #: Sets that an n-gram may lead in candidate pairs; those of any other are compared in blocks.
 HOT = 64
 #: Sets of a block, and entries that they should not exceed.
@@ -143,7 +143,7 @@ def _cuts(values: np.ndarray) -> list[int]:
     return np.append(np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)).tolist() if len(values) else [0]
 
 
-PACKED = "frag int, sigs binary, sizes binary, counts binary, keys binary"
+PACKED = "frag int, sigs binary, counts binary, keys binary"
 
 
 def _scatter(n: int, fragments: int, heavy: _Heavy):
@@ -173,13 +173,13 @@ def _scatter(n: int, fragments: int, heavy: _Heavy):
                 order = np.argsort(frag.astype(np.uint16) if fragments <= 32768 else frag, kind="stable")
                 frag, owner, key = frag[order], owner[order], key[order]
                 cuts = _cuts(frag)
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[], [], [], []]
                 for a, z in zip(cuts[:-1], cuts[1:]):
                     first = _cuts(owner[a:z])
                     who = owner[a:z][first[:-1]]
-                    for col, value in zip(rows, (int(frag[a]), sig[who].tobytes(), size[who].astype(np.uint32).tobytes(), np.diff(first).astype(np.uint32).tobytes(), key[a:z].tobytes())):
+                    for col, value in zip(rows, (int(frag[a]), sig[who].tobytes(), np.diff(first).astype(np.uint32).tobytes(), key[a:z].tobytes())):
                         col.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["frag", "sigs", "sizes", "counts", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["frag", "sigs", "counts", "keys"])
 
     return run
 
@@ -191,23 +191,23 @@ def _read(b: pa.RecordBatch, r: int, *columns: tuple[str, type]) -> list[np.ndar
 _SETS = (("sigs", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("keys", np.uint64))
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of a whole fragment: its number, distinct signatures, their sizes, and distinct (key, signature index) sorted by key."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a whole fragment: its number, distinct signatures, and distinct (key, signature index) sorted by key."""
     held, frag = [], 0
     for b in batches:
         for r in range(b.num_rows):
             frag = b.column("frag")[r].as_py()
-            held.append(_read(b, r, *_SETS))
+            held.append(_read(b, r, ("sigs", np.uint64), ("counts", np.uint32), ("keys", np.uint64)))
     if not held:
         return None
-    sig, size, count, key = (np.concatenate(x) for x in zip(*held))
+    sig, count, key = (np.concatenate(x) for x in zip(*held))
     del held
-    known, first, index = np.unique(sig, return_index=True, return_inverse=True)
+    known, index = np.unique(sig, return_inverse=True)
     owner = np.repeat(index.astype(np.int32), count)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-    return frag, known, size[first], key[new], owner[new]
+    return frag, known, key[new], owner[new]
 
 
 def _frequency(key: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ _SEGMENTS = ["part", "sigs", "sizes", "counts", "keys", "classes", "hist"]
 
 def _segment(part: int, sig: np.ndarray, size: np.ndarray, count: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     raw = (sig.tobytes(), size.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), key.tobytes(), kind.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in raw], pa.array([np.bincount(kind, minlength=64).tolist()], pa.list_(pa.int64()))], _SEGMENTS)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in raw], pa.array([np.bincount(kind.astype(np.uint8), minlength=64).tolist()], pa.list_(pa.int64()))], _SEGMENTS)
 
 
 def _segments(parts: int, fragments: int, heavy: _Heavy):
@@ -233,7 +233,7 @@ def _segments(parts: int, fragments: int, heavy: _Heavy):
         got = _gather(batches)
         if got is None:
             return
-        frag, known, size, key, owner = got
+        frag, known, key, owner = got
         if frag < fragments:
             n = _frequency(key)
             key, owner, n = key[n > 1], owner[n > 1], n[n > 1]
@@ -247,7 +247,7 @@ def _segments(parts: int, fragments: int, heavy: _Heavy):
         for a, z in zip(cuts[:-1], cuts[1:]):
             first = _cuts(owner[a:z])
             who = owner[a:z][first[:-1]]
-            yield _segment(int(part[a]), known[who], size[who], np.diff(first), key[a:z], kind[a:z])
+            yield _segment(int(part[a]), known[who], np.zeros(0), np.diff(first), key[a:z], kind[a:z])
 
     return run
 
@@ -255,19 +255,41 @@ def _segments(parts: int, fragments: int, heavy: _Heavy):
 _ENTRIES = (*_SETS, ("classes", np.uint8))
 
 
+def _sizes(parts: int):
+    """Rows (signature, n-grams) packed by part, as segments without entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches, 1 << 16):
+            sig, size = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sig = sig.view(np.uint64)
+            part = _part_of(sig, parts)
+            order = np.argsort(part, kind="stable")
+            sig, size, part = sig[order], size[order], part[order]
+            cuts = _cuts(part)
+            none = np.zeros(0, np.uint8)
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                yield _segment(int(part[a]), sig[a:z], size[a:z], none, none, none)
+
+    return run
+
+
 def _active(threshold: float):
     """Of a part: the sets of whose n-grams enough occur elsewhere, each one's in global order, in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, part = [], 0
+        got, sizes, part = [], [], 0
         for b in batches:
             for r in range(b.num_rows):
                 part = b.column("part")[r].as_py()
-                got.append(_read(b, r, *_ENTRIES))
+                row = _read(b, r, *_ENTRIES)
+                (got if len(row[2]) else sizes).append(row)
         if not got:
             return
-        sig, size, count, key, kind = (np.concatenate(x) for x in zip(*got))
-        sig, size = np.repeat(sig, count), np.repeat(size, count)
+        sig, _, count, key, kind = (np.concatenate(x) for x in zip(*got))
+        known, size = (np.concatenate(x) for x in list(zip(*sizes))[:2])
+        order = np.argsort(known)
+        sig = np.repeat(sig, count)
+        size = size[order][np.searchsorted(known[order], sig)]
         order = np.lexsort((key, kind, sig))
         sig, size, key, kind = sig[order], size[order], key[order], kind[order]
         n = _frequency(sig)
@@ -672,9 +694,9 @@ def _join(docs: DataFrame, o: Options, pairs: bool) -> tuple[DataFrame, DataFram
     kinds = np.log2(np.array([r.n for r in common], float)).astype(np.uint8)
     heavy = _Heavy(keys[np.argsort(keys)], kinds[np.argsort(keys)])
     least = spark.sparkContext.defaultParallelism
-    parts = max(least, ceil(total / PART))
-    scattered = rows.mapInArrow(lean(_scatter(o.n, parts, heavy)), PACKED).repartitionById(parts * (1 + bool(common)), "frag")
-    segments = scattered.mapInArrow(lean(_segments(parts, parts, heavy)), SEGMENTS)
+    parts, keyed = max(least, ceil(total / PART)), max(least, ceil(total / FRAGMENT))
+    scattered = rows.mapInArrow(lean(_scatter(o.n, keyed, heavy)), PACKED).repartitionById(keyed * (1 + bool(common)), "frag")
+    segments = scattered.mapInArrow(lean(_segments(parts, keyed, heavy)), SEGMENTS).unionByName(reps.select("sig", "size").mapInArrow(lean(_sizes(parts)), SEGMENTS))
     active = cut(segments.repartitionById(parts, "part").mapInArrow(lean(_active(o.threshold)), SEGMENTS), "jaccard-active")
     hist = [0] * 64
     for r in active.select(F.posexplode("hist").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
