@@ -11,16 +11,18 @@ independently and nothing is shuffled. ``match`` sends the test items to the blo
   rarest on, are intersected with it. Windows of one alignment that overlap are
   reported as one run.
 * proximity: a stretch of at most SLACK times the item's words that holds at least
-  SHARE of its distinct terms, in any order. Such a stretch has one of the rarest
-  terms, so candidates come from the shortest lists alone.
+  SHARE of its distinct terms, rounded up, in any order; of a document the best
+  stretch is given, of equal ones the first. Such a stretch has one of the rarest
+  terms, so candidates come from the shortest lists alone. The rule is one for items
+  of all sizes: of up to four terms all are needed.
 
 Words are those of ``_words`` and agree when their 64-bit keys do.
 
 Defined results: rows and items without id are left out; null, empty and wordless
-texts match nothing; repeated rows and items each match for themselves, equal
-result rows are given once; items of fewer than MIN_TERMS distinct terms have
-exact matches only; an empty table gives an empty result; other columns are not
-read by ``match`` and pass through ``clean`` untouched.
+texts match nothing; a very long text is a block of its own and searched whole;
+repeated rows and items each match for themselves, equal result rows are given once;
+an empty table gives an empty result; other columns are not read by ``match`` and
+pass through ``clean`` untouched, whatever their names.
 
 The test items go to every task. Their size is checked: above ``max_item_words``
 words they are sent in several passes of bounded size.
@@ -30,7 +32,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm._words import lean, slices, words
-from lexweave.session import shared_dir, ship
+from lexweave.session import cut, ship, small, work_path
 
 NGRAM = 13
 SHARE = 0.8
 SLACK = 1.5
-MIN_TERMS = 8
 MAX_ITEM_WORDS = 500_000
 #: A block is closed at so many bytes of text; long documents make longer blocks.
 BLOCK_BYTES = 6 << 20
@@ -76,7 +76,7 @@ def build(docs: DataFrame) -> DataFrame:
     """The stored index of all tokens, one row a block, in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/lexweave/postings-{uuid4().hex}"
+    path = work_path(spark, "postings")
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
     rows.mapInArrow(lean(_index), INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
@@ -167,12 +167,10 @@ def exact(lists: Lists, item: np.ndarray, ngram: int) -> set[tuple[int, int, int
     return {(int(lists.doc(np.array([p]))[0]), p, c) for p, c in out}
 
 
-def near(lists: Lists, item: np.ndarray, share: float, slack: float, min_terms: int) -> set[tuple[int, int, int]]:
+def near(lists: Lists, item: np.ndarray, share: float, slack: float) -> set[tuple[int, int, int]]:
     """(doc index, first position, terms) of the best stretch of each document that holds enough of the item's terms."""
     terms = np.unique(item)
     u = len(terms)
-    if u < min_terms:
-        return set()
     need, span = ceil(round(share * u, 9)), ceil(round(slack * len(item), 9))
     terms = terms[np.argsort(lists.df[terms], kind="stable")]
     df = lists.df[terms]
@@ -223,14 +221,14 @@ def near(lists: Lists, item: np.ndarray, share: float, slack: float, min_terms:
     return {(d, p, c) for d, (p, c) in out.items()}
 
 
-def _search(items: _Items, ngram: int, share: float, slack: float, min_terms: int):
+def _search(items: _Items, ngram: int, share: float, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 lists = Lists({n: b.column(i)[r].as_buffer() for i, n in enumerate(b.schema.names)}, items.vocab)
                 rows = []
                 for item_id, item in items.rows:
-                    for kind, hits in (("exact", exact(lists, item, ngram)), ("proximity", near(lists, item, share, slack, min_terms))):
+                    for kind, hits in (("exact", exact(lists, item, ngram)), ("proximity", near(lists, item, share, slack))):
                         rows += [(int(lists.ids[d]), item_id, kind, int(p - lists.first[d]), c) for d, p, c in hits]
                 if rows:
                     cols = list(zip(*sorted(set(rows))))
@@ -239,7 +237,7 @@ def _search(items: _Items, ngram: int, share: float, slack: float, min_terms: in
     return run
 
 
-def match(index: DataFrame, items: DataFrame, ngram: int = NGRAM, share: float = SHARE, slack: float = SLACK, min_terms: int = MIN_TERMS, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
+def match(index: DataFrame, items: DataFrame, ngram: int = NGRAM, share: float = SHARE, slack: float = SLACK, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Rows (doc_id, item_id, match, position, n_words): position counts the document's words from 0; n_words is the length of an exact run, or the distinct terms of a stretch."""
     ship(index.sparkSession)
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
@@ -248,15 +246,15 @@ def match(index: DataFrame, items: DataFrame, ngram: int = NGRAM, share: float =
     out = None
     for k in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        found = index.mapInArrow(lean(_search(_Items([r.item_id for r in rows], [r.text for r in rows]), ngram, share, slack, min_terms)), MATCHES)
+        found = index.mapInArrow(lean(_search(_Items([r.item_id for r in rows], [r.text for r in rows]), ngram, share, slack)), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any match, with the columns they came with; rows without id stay."""
-    hit = match(build(docs), items, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    hit = cut(match(build(docs), items, **options).select(F.col("doc_id").alias("__hit")).distinct(), "decontaminate-hit")
+    return docs.join(small(hit, hit.count(), 32), docs["doc_id"] == hit["__hit"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,13 +93,13 @@ def exact_runs(text, item, n):
     return out
 
 
-def near_stretch(text, item, share, slack, min_terms):
+def near_stretch(text, item, share, slack):
     """(position, terms) of the first stretch with the most of the item's terms, if they are enough."""
     from math import ceil
 
     t, q = words(text), words(item)
     terms = set(q)
-    if len(terms) < min_terms:
+    if not terms:
         return None
     need, span = ceil(round(share * len(terms), 9)), ceil(round(slack * len(q), 9))
     best = (0, 0)

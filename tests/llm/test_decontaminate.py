@@ -8,14 +8,14 @@ def rows(df):
     return {tuple(r) for r in df.collect()}
 
 
-def want(docs, items, ngram=d.NGRAM, share=d.SHARE, slack=d.SLACK, min_terms=d.MIN_TERMS):
+def want(docs, items, ngram=d.NGRAM, share=d.SHARE, slack=d.SLACK):
     out = set()
     for i, t in docs:
         for k, q in items:
             if i is None or k is None:
                 continue
             out |= {(i, k, "exact", p, n) for p, n in brute.exact_runs(t, q, ngram)}
-            s = brute.near_stretch(t, q, share, slack, min_terms)
+            s = brute.near_stretch(t, q, share, slack)
             if s:
                 out.add((i, k, "proximity", *s))
     return out
@@ -40,7 +40,7 @@ def test_random_texts_equal_brute_force(spark):
             t += rng.choice(items)[1].split()
         docs.append((i, " ".join(t)))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    options = dict(ngram=4, share=0.7, slack=1.3, min_terms=4)
+    options = dict(ngram=4, share=0.7, slack=1.3)
     expected = want(docs, items, **options)
     assert rows(d.match(d.build(a), b, **options)) == expected
     assert rows(d.match(d.build(a), b, **options, max_item_words=20)) == expected
