@@ -9,13 +9,14 @@ Four kinds of evidence meet in one posterior over the known languages:
 * the host, by a prior that is smoothed hierarchically: a host's counts lean on
   its domain's, and a domain's on those of the whole corpus.
 
-The last three are counted by grouped aggregation over all rows whose text alone
-is decisive. A row is accepted unless its text has no letters, is unlike every
-known language, or leaves the posterior below ``MIN_CONFIDENCE``; its language is
-then ``und``.
-
-Defined results: a null or empty text has no letters and is rejected; null or
-unknown declarations, suffixes and hosts are no evidence; a null id and repeated
+The last three are counted by grouped aggregation over all rows whose text is like
+a known language: each counts for every language by the posterior of its text alone,
+so that short and mixed texts tell what they know. A row is accepted unless its text
+has no letters, is unlike every known language, or leaves the posterior below
+``MIN_CONFIDENCE``; its language is then ``und``.
+
+Defined results: a null or empty text has no letters and is rejected; a very long
+text is read whole; null or unknown declarations, suffixes and hosts are no evidence; a null id and repeated
 rows are judged like any other row; of two languages that tie the first by name
 wins; where no row names a language nothing can be learnt and every row with
 letters is accepted as ``und``; an empty table gives an empty result; other
@@ -46,10 +47,10 @@ MIN_CONFIDENCE = 0.5
 EFFECTIVE = 600
 #: Weight of the parent's distribution, in rows.
 LEAN = 20.0
-#: A text of LONG trigrams or more is unlike all languages at so many nats a trigram below the usual.
-UNLIKE, LONG = 1.5, 30
-#: Posterior of the text alone from which a row is counted.
-DECISIVE = 0.9
+#: A text is unlike all languages at so many nats a trigram below the usual, with so many usual ones added to it.
+UNLIKE, USUAL = 1.5, 16
+#: Parts in which a row's posteriors are counted: whole numbers, so that sums don't depend on their order.
+PARTS = 10_000
 BITS = 16
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -122,11 +123,23 @@ class Model:
         """Tempered log likelihoods, trigrams, and whether the text is like some known language."""
         ll, n = likelihoods(t, self.tables)
         if len(self.langs):
-            near = (n < LONG) | ((ll / np.maximum(n, 1)[:, None]) >= self.usual - UNLIKE).any(1)
+            near = ((ll + USUAL * self.usual) / (n + USUAL)[:, None] >= self.usual - UNLIKE).any(1)
         else:
             near = np.ones(len(n), bool)
         return np.round(ll / 3 * np.minimum(1, EFFECTIVE / np.maximum(n, 1))[:, None], 6), n, near
 
+    def shares(self, scored: Column) -> Column:
+        """Posterior of each language by the text alone, in whole PARTS."""
+
+        @arrow_udf("array<bigint>")
+        def share(s: pa.Array) -> pa.Array:
+            ll = s.field("ll").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
+            p = np.exp(ll - ll.max(1, keepdims=True))
+            p = np.rint(p / p.sum(1, keepdims=True) * PARTS).astype(np.int64)
+            return pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), pa.array(p.ravel()))
+
+        return share(scored)
+
     def _fuse(self, total: np.ndarray, n: np.ndarray, near: np.ndarray, logs: tuple[pa.Array, ...]) -> pa.Array:
         langs, names = self.langs, ["lang", "confidence", "accepted"]
         if not langs:
@@ -193,7 +206,7 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = labelled.filter("lang is not null and id is not null").select("id", "lang").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= max_labelled).select("id", "lang")
     ids = cut(ids, "language-sample")
-    some = labelled.join(small(ids, ids.count(), 500_000), ["id", "lang"]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    some = labelled.join(small(ids, ids.count(), 48), ["id", "lang"]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     rows = some.repartition(8).mapInArrow(lean(_counts), "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in rows:
@@ -219,12 +232,13 @@ def gather(model: Model, rows: DataFrame) -> None:
     langs = model.langs
     if not langs:
         return
-    plain = rows.withColumn("v", model.verdict(F.col("scored"))).filter(F.col("v.accepted") & (F.col("v.confidence") >= DECISIVE))
-    counts = cut(plain.groupBy("declared", "suffix", "domain", "host").agg(*[F.sum((F.col("v.lang") == lang).cast("bigint")).alias(f"c{i}") for i, lang in enumerate(langs)]), "language-counts")
-    totals = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(langs))]).first()
+    plain = rows.filter(F.col("scored.near") & (F.col("scored.n") > 0)).withColumn("p", model.shares(F.col("scored")))
+    counts = plain.groupBy("declared", "suffix", "domain", "host").agg(*[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(len(langs))])
+    counts = cut(counts.select("declared", "suffix", "domain", "host", *[(F.col(f"c{i}") / PARTS).alias(f"c{i}") for i in range(len(langs))]), "language-counts")
+    totals = counts.agg(*[F.round(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)), 4).alias(f"c{i}") for i in range(len(langs))]).first()
     every = np.array(list(totals), float)
     base = (every + 1) / (every.sum() + len(langs))
-    c = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(langs))]
+    c = [F.round(F.sum(f"c{i}"), 4).alias(f"c{i}") for i in range(len(langs))]
     for key in ("declared", "suffix"):
         t = counts.filter(F.col(key).isNotNull()).groupBy(key).agg(*c)
         kinds = t.count() + 1
@@ -247,7 +261,7 @@ def judge(model: Model, rows: DataFrame) -> DataFrame:
     logs = []
     for key in ("declared", "suffix", "host"):
         if key in model.evidence:
-            rows = rows.join(small(model.evidence[key], model.rows[key]), key, "left")
+            rows = rows.join(small(model.evidence[key], model.rows[key], 64 + 8 * len(model.langs)), key, "left")
             logs.append(F.col(f"{key}_log"))
     return rows.withColumn("verdict", model.verdict(F.col("scored"), *logs) if "scored" in rows.columns else model.verdict_of(F.col("row.text"), *logs))
 
