@@ -20,8 +20,9 @@ their document's id and their words, from anywhere in a text. Every unit of ever
 text is scanned.
 
 Defined results: rows without id are left out; null and empty texts have no unit;
-repeated rows give their rows again; ties between families go to the first by
-name; an empty table gives an empty result; other columns are not read.
+very long texts are scanned whole; repeated rows give their rows again; ties between families go to the first by
+name; an empty table gives an empty result; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm._words import Words, lean, mix, slices, words
-from lexweave.session import ship
+from lexweave.session import cut, ship
 
 WINDOW = 60
 MIN_PROBABILITY = 0.5
@@ -45,21 +46,23 @@ MIN_SIMILARITY = 0.6
 MAX_UNKNOWN = 2000
 SEED = 11
 
+#: Notices, and of longer texts the sentences that tell them apart, none of over half a window, so that some window holds it whole.
 TEMPLATES = {
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-or-later"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Released under the 3-Clause BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license"],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Affero General Public License along with this program."],
+    "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
+    "bsd": ["Released under the 3-Clause BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "cc0": ["Released into the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright (CC0).", "SPDX-License-Identifier: CC0-1.0"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2 or later.", "You can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT"],
-    "mpl": ["Subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2 or later.", "You can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program."],
+    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Lesser General Public License along with this library"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mpl": ["Subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"],
     "proprietary": ["All rights reserved.", "Confidential and proprietary. Unauthorized copying is strictly prohibited.", "No part of this publication may be reproduced without prior written permission."],
-    "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"],
+    "zlib": ["Licensed under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "SPDX-License-Identifier: Zlib"],
 }
 UNKNOWN = "unknown"
 #: Words around a notice, and sentences that only look like one.
@@ -166,17 +169,27 @@ def _of(family: str) -> list[set[int]]:
     return _templates[family]
 
 
+_own: dict[str, list[set[int]]] = {}
+
+
+def _own_of(family: str) -> list[set[int]]:
+    """Of each template the pairs that no other family's have."""
+    if family not in _own:
+        others = set().union(*(t for k in TEMPLATES if k != family for t in _of(k)))
+        _own[family] = [t - others for t in _of(family)]
+    return _own[family]
+
+
 def similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
-    """Best share of a template's word pairs that the unit holds outside the units told."""
+    """Best share of a template's word pairs that the unit holds outside the units told, one of its own among them if it has any."""
     mine = _pairs(w, a, z, told)
-    return max(len(t & mine) / len(t) for t in _of(family))
+    return max(len(t & mine) / len(t) if not own or own & mine else 0.0 for t, own in zip(_of(family), _own_of(family)))
 
 
 def own_similarity(family: str, w: Words, a: int, z: int, told: Iterable[tuple[int, int]] = ()) -> float:
-    """The same over templates of whose pairs that no other family has, too, the unit holds the share MIN_SIMILARITY; else 0."""
+    """The same over templates of whose own pairs, too, the unit holds the share MIN_SIMILARITY; else 0."""
     mine = _pairs(w, a, z, told)
-    others = set().union(*(t for k in TEMPLATES if k != family for t in _of(k)))
-    return max((len(t & mine) / len(t) for t in _of(family) if (own := t - others) and len(own & mine) >= MIN_SIMILARITY * len(own)), default=0.0)
+    return max((len(t & mine) / len(t) for t, own in zip(_of(family), _own_of(family)) if own and len(own & mine) >= MIN_SIMILARITY * len(own)), default=0.0)
 
 
 def examples(unknown: list[str], seed: int = SEED, each: int = 60) -> list[tuple[str, str]]:
@@ -319,7 +332,13 @@ def scan(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> DataFrame:
     """Rows (doc_id, line, word, family, probability, similarity, confirmed); line and word count from 0."""
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    drawn = rows.mapInArrow(lean(_draw(max_unknown)), "h bigint, unit string").orderBy("h", "unit").limit(max_unknown).select("unit").collect()
+    drawn = cut(rows.mapInArrow(lean(_draw(max_unknown)), "h bigint, unit string"), "license-units")
+    held = drawn.count()
+    if held > 4 * max_unknown:
+        # only units up to a quantile of the hashes go further: three times as many as are wanted, with the quantile's error
+        level = drawn.agg(F.percentile_approx("h", F.lit(3 * max_unknown / held), F.lit(max(10_000, 2 * held // max_unknown)))).first()[0]
+        drawn = drawn.filter(F.col("h") <= level)
+    drawn = drawn.orderBy("h", "unit").limit(max_unknown).select("unit").collect()
     known = {k: [words(pa.array([t])) for t in ts] for k, ts in TEMPLATES.items()}
     unknown = []
     for r in drawn:

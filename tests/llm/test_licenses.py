@@ -115,6 +115,95 @@ def test_every_licence_of_a_unit_is_named(model):
             assert confirmed(model, t) == [(0, family)]
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+
+
+@pytest.mark.parametrize("family", NOTICES)
+def test_standard_notices_as_they_are_shipped(model, family):
+    import textwrap
+
+    for width in (30, 72, 100):
+        lines = textwrap.wrap(NOTICES[family], width)
+        for mark in ("", "# ", "// ", " * ", "-- "):
+            assert {f for _, f in confirmed(model, "Copyright (c) 2020 A B\n\n" + "\n".join(mark + x for x in lines))} == {family}, (width, mark)
+
+
+def plain_units(text):
+    """(words, line, word number) of the units of a text, by its lines and paragraphs."""
+    import re
+
+    units, paragraph, at = [], [], 0
+
+    def windows(run):
+        step = licenses.WINDOW // 2
+        n = 1 if len(run) <= licenses.WINDOW else -(-(len(run) - licenses.WINDOW) // step) + 1
+        return [run[i * step : i * step + licenses.WINDOW] for i in range(n)]
+
+    def close():
+        if paragraph:
+            units.extend(u for u in windows(paragraph) if u[0][1] < u[-1][1])
+            paragraph.clear()
+
+    for number, line in enumerate(text.split("\n")):
+        if not line.strip():
+            close()
+            continue
+        here = []
+        for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", line.lower()):
+            here.append((w, number, at))
+            at += 1
+        if here:
+            units += windows(here)
+        paragraph += here
+    close()
+    return {(tuple(w for w, _, _ in u), u[0][1], u[0][2]) for u in units}
+
+
+def test_units_and_similarities_equal_plain_python(model):
+    rng = random.Random(12)
+    pairs = lambda w: {*zip(w, w[1:])} if len(w) > 1 else set(w)
+    norm = lambda t: licenses_words(t)
+    for _ in range(20):
+        blocks = [filler(rng, rng.choice([3, 20, 150])), rng.choice(list(NOTICES.values())), rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts])]
+        rng.shuffle(blocks)
+        text = rng.choice(["\n", "\n\n", "\n \n"]).join("\n".join(b.split(". ")) for b in blocks)
+        w = words(pa.array([text]))
+        first, last, _, line = licenses._units(w)
+        raw = w.data.tobytes()
+        got = {(tuple(raw[w.start[k] : w.end[k]].decode() for k in range(a, z)), n, a) for a, z, n in zip(first.tolist(), last.tolist(), line.tolist())}
+        assert got == plain_units(text)
+        for f in licenses.find(model, pa.array([text])):
+            mine = next(u for u in got if u[1:] == (f[1], f[2]))[0]
+            best = max(len(pairs(norm(t)) & pairs(list(u[0]))) / len(pairs(norm(t))) for t in licenses.TEMPLATES[f[3]] for u in got if u[1:] == (f[1], f[2]))
+            assert f[5] <= round(best, 6) + 1e-9 and mine
+            assert (f[5] >= licenses.MIN_SIMILARITY) <= (best >= licenses.MIN_SIMILARITY)
+
+
+def licenses_words(text):
+    from tests.llm import brute
+
+    return brute.words(text)
+
+
+def test_the_unknown_units_are_those_of_the_smallest_hashes(spark, monkeypatch):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, "\n".join(filler(rng, 6) for _ in range(20))) for i in range(60)], "doc_id long, text string").repartition(6)
+    seen = []
+    train = licenses.train
+    monkeypatch.setattr(licenses, "train", lambda units: seen.append(units) or train(units[:20]))
+    licenses.scan(df, 40)
+    every = df.mapInArrow(licenses._draw(10**6), "h bigint, unit string").orderBy("h", "unit").limit(40).collect()
+    assert seen == [[r.unit for r in every]]
+
+
 def test_query_finds_planted_lines_and_leaves_the_rest(spark, sf_dir):
     found = licenses.query(spark, sf_dir).filter("confirmed").collect()
     assert found
