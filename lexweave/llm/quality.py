@@ -11,7 +11,8 @@ lowered where that would reject labelled good documents: the threshold is never
 above the ``guard`` quantile of the labelled good documents' scores.
 
 Defined results: a null or empty text has all features 0 and is judged like any
-other; rows without id and repeated rows are judged by their text; labels that
+other; a very long text is measured whole; a score that ties with the threshold is
+kept; rows without id and repeated rows are judged by their text; labels that
 are null, or that name no document, are ignored; where one of the two classes has
 no labelled document, nothing can be learnt and every document is kept with score
 0; an empty table gives an empty result; other columns pass through ``keep``
@@ -95,6 +96,7 @@ def _features(texts: pa.Array) -> np.ndarray:
     out[:, 7] = total(symbol) / chars
     doubled = np.zeros(len(data), bool)
     doubled[1:] = symbol[1:] & (data[1:] == data[:-1])
+    doubled[at] = False
     out[:, 8] = total(doubled) / w
     out[:, 9] = total(kind == 4) / w
     out[:, 10] = total(kind == 5) / w

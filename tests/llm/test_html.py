@@ -47,6 +47,46 @@ def up(n):
         n = n.parent
 
 
+def plain_extract(page):
+    """Text, path, sum and threshold of a page's content, from densities by recursion."""
+    _, nodes = html.parse(page)
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    inside = [n for n in nodes if any(x is body for x in up(n))]
+    d = {id(n): density(n, body) for n in inside}
+    total = {id(n): sum(d[id(c)] for c in n.children()) if n.children() else d[id(n)] for n in inside}
+    below = lambda n: [n, *(x for c in n.children() for x in below(c))]
+    best = lambda n: max(below(n), key=lambda x: total[id(x)])  # noqa: E731 (the first of equal ones)
+    top = best(body)
+    path = [n for n in up(top) if n is body or any(x is body for x in up(n))]
+    limit = min(d[id(n)] for n in path)
+    dense = [n for n in inside if all(d[id(x)] >= limit for x in up(n) if any(y is body for y in up(x)))]
+    chosen = [best(n) for n in dense if " ".join(words_of(n)).strip()]
+
+    def lines(n, on):
+        on = on or any(n is c for c in chosen)
+        out = []
+        for p in n.parts:
+            out += ([p] if on else []) if isinstance(p, str) else lines(p, on)
+        return ["\n", *out, "\n"] if n.tag in html.BLOCKS else out
+
+    text = "".join(x if x == "\n" else " ".join(["", *x.split(), ""]) if x[:1].isspace() and x[-1:].isspace() else x for x in lines(body, False))
+    return ["".join(x.split()) for x in text.split("\n") if x.strip()], "/".join(n.tag for n in reversed(path) if n.parent), total[id(top)], limit
+
+
+def words_of(n):
+    return [p if isinstance(p, str) else " ".join(words_of(p)) for p in n.parts]
+
+
+def test_content_path_and_threshold_equal_a_recursive_definition(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        text, path, total, limit = html.extract(r.html)
+        lines, want_path, want_total, want_limit = plain_extract(r.html)
+        assert path == want_path and total == pytest.approx(want_total, abs=1e-5) and limit == pytest.approx(want_limit, abs=1e-5)
+        # line by line, but for blanks
+        assert "".join("".join(x.split()) for x in text.split("\n")) == "".join(lines)
+        assert [x for x in text.split("\n") if x] == text.split("\n")
+
+
 LONG = "This sentence is part of the story and carries quite a few words of running text. " * 6
 
 

@@ -1,12 +1,13 @@
 import numpy as np
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lexweave.llm import jaccard, language, mixing, quality
+from lexweave.llm import jaccard, mixing
 from tests.llm import brute
 from tests.llm.test_decontaminate import want as leaks
+from tests.llm.test_language import plain_verdicts
 from tests.llm.test_mixing import brute as mixed
+from tests.llm.test_quality import plain_model
 
 
 def survivors(pairs, ids):
@@ -39,11 +40,10 @@ def test_every_stage_equals_brute_force(spark, sf_dir, tmp_path):
         out = spark.read.parquet(str(tmp_path / str(k)))
         texts = [(i, r.text) for i, r in held.items()]
         if name == "language_id":
-            none = spark.createDataFrame([], "page_id long, url string, html string")
-            kept = {r.doc_id for r in language.identify(docs, none).filter("accepted").collect()}
+            kept = {i for i, (_, _, ok) in plain_verdicts([(i, r.text, r.lang, r.source) for i, r in held.items()]).items() if ok}
         elif name == "quality_classifier":
-            model, _ = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-            kept = {i for i, s in zip(held, model.of(quality.features(pa.array([t for _, t in texts])))) if s >= model.threshold}
+            score, threshold = plain_model(spark, texts, {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()})
+            kept = {i for i in held if score[i] >= threshold - 1e-6}
         elif name == "ngram_jaccard":
             kept = survivors(brute.jaccard_rows(texts, jaccard.N, jaccard.THRESHOLD), list(held))
         elif name == "benchmark_decontamination":
