@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import chunks, layers
 from lexweave.operators.index import Index
-from lexweave.operators.ranks import numbered
 from lexweave.session import cut, small, work_path
 
 #: Postings of a list that are kept as its best ones; searches for more results take their threshold from fewer queries.
@@ -64,10 +63,12 @@ def write(index: Index, path: str, layering: str | None = None, codec: str = "zs
     raw = cut(index.postings, "store-postings")
     lists = cut(raw.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "store-lists")
     scored = index.scored_with(raw, small(lists.select("term", "df"), lists.count()))
-    best_first = numbered(scored.withColumn("rounded", F.round("score", 6)), "term", [F.desc("rounded"), "doc_id"], rank="rank")
     save = lambda df, name: df.write.option("compression", codec).parquet(f"{path}/{name}")
-    save(best_first.filter(F.col("rank") < BEST).select("term", "doc_id", "score"), "best")
-    rows = layers.assign(best_first, layering) if layering else chunks.with_chunks(scored).withColumn("layer", F.lit(0))
+    # each task sends on no more than the best of a list
+    order = Window.partitionBy("term").orderBy(F.desc("score"), "doc_id")
+    best = scored.select("term", "doc_id", "score").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= BEST).select("term", "doc_id", "score")
+    save(best, "best")
+    rows = layers.layerify(scored, layering) if layering else chunks.with_chunks(scored).withColumn("layer", F.lit(0))
     rows.sortWithinPartitions("layer", "term", "doc_id").write.option("compression", codec).partitionBy("layer").parquet(f"{path}/postings")
     save(index.docs, "docs")
     stored = spark.read.parquet(f"{path}/postings")

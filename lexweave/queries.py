@@ -17,7 +17,7 @@ from lexweave.functions import codecs, text
 from lexweave.operators import chunks, index as ix, layers, store
 from lexweave.operators.ranks import numbered
 from lexweave.plans import pruning, search
-from lexweave.session import work_path
+from lexweave.session import cut, work_path
 from lexweave.sources import collections as col, querylog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,9 +62,9 @@ def _full(spark: SparkSession, d: str, positions: bool = False) -> ix.Index:
 
 
 def _store(spark: SparkSession, d: str, layering: str | None = None) -> store.Stored:
-    """The stored index of the documents, with positions."""
+    """The stored index of the documents: of one layer with positions, or of several without."""
     docs = _docs(spark, d)
-    return store.once(ix.build(docs, positions=True), docs, ("documents", "positions"), layering)
+    return store.once(ix.build(docs, positions=not layering), docs, ("documents",), layering)
 
 
 # --- SQL building blocks -------------------------------------------------------
@@ -172,7 +172,8 @@ def _(spark, d):
 
 @query("bm25_partial_scores", f"WITH {_TOK} SELECT term, doc_id, round(score, 6) AS score FROM sc")
 def _(spark, d):
-    return _full(spark, d).scored().select("term", "doc_id", F.round("score", 6).alias("score"))
+    i = _full(spark, d)
+    return i.scored(cut(i.postings, "postings")).select("term", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("index_meta", f"""WITH {_TOK} SELECT n_docs, (SELECT count(*) FROM docs WHERE doc_len > 0) AS unique_docs, (SELECT min(doc_id) FROM docs) AS first_doc_id, (SELECT max(doc_id) FROM docs) AS last_doc_id, total_len,
