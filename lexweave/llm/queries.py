@@ -14,6 +14,7 @@ QUERIES = {
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_chat_formatting": chat.query,
     "op9_exact_topk": topk.query,
+    "op9_exact_topk_by_document": topk.query_by_document,
     "op10_language_id": language.query,
 }
 SQL = {
@@ -21,4 +22,5 @@ SQL = {
     "op3_url_filter": urls.SQL,
     "op8_chat_formatting": chat.SQL,
     "op9_exact_topk": topk.SQL,
+    "op9_exact_topk_by_document": topk.SQL_BY_DOCUMENT,
 }

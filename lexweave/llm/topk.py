@@ -11,10 +11,10 @@ ranked by id. A query has fewer than k rows where fewer documents share a term.
 
 Defined results: documents without id are left out of results and statistics;
 null, empty and wordless texts have length 0 and score nothing, and count as
-documents; documents that repeat an id are documents of their own; queries without id
+documents; very long texts are scored whole; documents that repeat an id are documents of their own; queries without id
 or words have no rows; equal query rows are one query, queries of one id with
 different texts are ranked each; an empty table gives an empty result; other
-columns are not read.
+columns are not read, whatever their names.
 
 The queries go to every task. Their size is checked: above ``max_query_words``
 words they are answered in several passes of bounded size.
@@ -35,6 +35,8 @@ from lexweave.session import ship
 
 K = 10
 K1, B = 1.2, 0.75
+#: Ids of documents that ask for others like them are divisible by this.
+EVERY = 50
 MAX_QUERY_WORDS = 200_000
 #: Score slots (queries x documents) that a task holds at once.
 SLOTS = 4_000_000
@@ -139,6 +141,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def query_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with documents as queries: every one whose id is divisible by EVERY, whole, against the whole documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search(docs, docs.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("item_id"), "text"))
+
+
 SQL = rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY ALL),
@@ -149,3 +157,4 @@ r AS (SELECT item_id, doc_id, round(sum(times * (ln(1 + (n - df + 0.5) / (df + 0
   FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY item_id, doc_id),
 k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r)
 SELECT * FROM k WHERE rank <= {K}"""
+SQL_BY_DOCUMENT = SQL.replace("FROM benchmark)", f"FROM (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % {EVERY} = 0))")

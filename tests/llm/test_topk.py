@@ -42,3 +42,16 @@ def test_edges(spark):
     assert topk.search(docs, queries).count() == 1
     assert topk.search(docs.limit(0), queries).count() == 0
     assert topk.search(docs, queries.limit(0)).count() == 0
+
+
+def test_documents_as_queries_equal_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(f"SELECT item_id, rank, doc_id, score FROM ({topk.SQL_BY_DOCUMENT})").fetchall()
+    got = [tuple(r) for r in topk.query_by_document(spark, sf_dir).collect()]
+    key = lambda r: (r[0], r[1])
+    assert [r[:3] for r in sorted(got, key=key)] == [r[:3] for r in sorted(want, key=key)]
+    assert all(abs(a[3] - b[3]) < 1e-5 for a, b in zip(sorted(got, key=key), sorted(want, key=key)))
+    assert {r[0] for r in got} == {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter(f"doc_id % {topk.EVERY} = 0 and text rlike '[A-Za-z0-9]'").collect()}
