@@ -664,6 +664,17 @@ def _round_trip(name: str) -> Callable:
 
 for _name, _size in _SIZES.items():
     query(f"codec_{_name}_size", f"WITH {_TOK}, {_ARRAYS}, {_WIDTH} SELECT term, chunk_no, CAST({_size} AS BIGINT) AS words FROM wb")(_sized(_name.replace("turborice", "turbo-rice")))
+_SIZED = {n.replace("turborice", "turbo-rice"): q for n, q in _SIZES.items()}
+
+
+@query("index_bytes", f"WITH {_TOK}, {_ARRAYS}, {_WIDTH} " + " UNION ALL ".join(f"SELECT '{n}' AS codec, count(*) AS chunks, CAST(sum(4 * ({q})) AS BIGINT) AS doc_id_bytes FROM wb" for n, q in _SIZED.items()))
+def _(spark, d):
+    """Bytes that the gaps of document ids take under each codec."""
+    a = _arrays(spark, d)
+    sizes = F.array(*[F.struct(F.lit(n).alias("codec"), (codecs.size_of(n, F.col("v")) * 4).alias("b")) for n in _SIZED])
+    return a.select(F.explode(sizes).alias("s")).groupBy("s.codec").agg(F.count("*").alias("chunks"), F.sum("s.b").cast("bigint").alias("doc_id_bytes"))
+
+
 for _name in codecs.CODECS:
     query(f"codec_{_name.replace('-', '')}_roundtrip", f"WITH {_TOK}, {_ARRAYS} SELECT term, chunk_no, CAST(len(v) AS BIGINT) AS n, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), v), lambda acc, x: (acc * 31 + x) % 1000003) AS BIGINT) AS checksum FROM ga")(_round_trip(_name))
 
