@@ -46,7 +46,7 @@ SHARE = 0.8
 SLACK = 1.5
 MAX_ITEM_WORDS = 500_000
 #: A block is closed at so many bytes of text; long documents make longer blocks.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 INDEX = "ids binary, first binary, terms binary, starts binary, postings binary"
 MATCHES = "doc_id bigint, item_id bigint, match string, position bigint, n_words bigint"
