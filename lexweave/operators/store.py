@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import chunks, layers
 from lexweave.operators.index import Index
-from lexweave.session import cut, small, work_path
+from lexweave.session import cut, on_drop, small, work_path
 
 #: Postings of a list that are kept as its best ones; searches for more results take their threshold from fewer queries.
 BEST = 64
 #: Distinct terms up to which a search sends them to the scan as a filter.
 LISTED = 500
 _BUILT: dict[tuple, "Stored"] = {}
+on_drop.append(_BUILT.clear)
 
 
 @dataclass(frozen=True)

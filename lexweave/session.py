@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _marked: set[str] = set()
+#: What else to forget when the working tables go.
+on_drop: list[Callable[[], None]] = []
 #: Bytes of rows that a join may broadcast.
 MAX_BROADCAST = 128 << 20
 
@@ -96,8 +99,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def drop_working_tables(spark: SparkSession) -> None:
     """Delete all working tables of this application; frames that still read them are void."""
-    _, path, fs = _work(spark)
+    folder, path, fs = _work(spark)
+    _marked.discard(folder)
     fs.delete(path, True)
+    for forget in on_drop:
+        forget()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

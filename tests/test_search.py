@@ -93,3 +93,29 @@ def test_options_reach_the_operators(spark, tmp_path):
     assert toolkit.run(index, queries, config.override("query_algorithm=default;use_positions=true")).count() == 1
     with pytest.raises(ValueError):
         toolkit.layer(index, str(tmp_path / "x"), config.override("num_layers=3"))
+
+
+def test_working_tables_are_dropped_and_made_anew(spark, sf_dir):
+    from lexweave import queries, session
+
+    first = queries.QUERIES["stored_term"](spark, sf_dir).count()
+    path = session.work_path(spark, "x")
+    session.cut(spark.range(3), "some")
+    session.drop_working_tables(spark)
+    import os
+
+    assert not os.path.exists(os.path.dirname(path).removeprefix("file://"))
+    assert queries.QUERIES["stored_term"](spark, sf_dir).count() == first > 0
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lexweave import session
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="a")))
+    named = SimpleNamespace(get=lambda k, d=None: "hdfs:///shared/")
+    assert session.shared_dir(SimpleNamespace(conf=named)) == "hdfs:///shared"
+    assert session.small(spark.range(3), 10, 8, 80) is not None
