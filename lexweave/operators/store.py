@@ -59,8 +59,10 @@ class Stored(Index):
 
 
 def write(index: Index, path: str, layering: str | None = None, codec: str = "zstd") -> Stored:
-    """Store an index, with the layers of a named strategy if there is one."""
+    """Store an index, with the layers of a named strategy if there is one; of a stored one only the layers are made anew."""
     spark = index.postings.sparkSession
+    if isinstance(index, Stored):
+        return _relayered(index, path, layering, codec)
     raw = cut(index.postings, "store-postings")
     lists = cut(raw.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "store-lists")
     scored = index.scored_with(raw, small(lists.select("term", "df"), lists.count()))
@@ -82,6 +84,18 @@ def write(index: Index, path: str, layering: str | None = None, codec: str = "zs
     return read(spark, path, layering, index.compat_avgdl)
 
 
+def _relayered(index: Stored, path: str, layering: str, codec: str) -> Stored:
+    spark = index.postings.sparkSession
+    save = lambda df, name: df.write.option("compression", codec).parquet(f"{path}/{name}")
+    rows = layers.layerify(index.postings.drop("layer", "chunk_no", "positions"), layering)
+    rows.sortWithinPartitions("layer", "term", "doc_id").write.option("compression", codec).partitionBy("layer").parquet(f"{path}/postings")
+    for name in ("docs", "best", "lists"):
+        save(getattr(index, name), name)
+    parts = spark.read.parquet(f"{path}/postings").groupBy("term", "layer").agg(F.count("*").alias("n"), F.max("score").alias("max_score"), F.first("idf").alias("idf"))
+    save(parts.sortWithinPartitions("term", "layer"), "parts")
+    return read(spark, path, layering, index.compat_avgdl)
+
+
 def read(spark: SparkSession, path: str, layering: str | None = None, compat_avgdl: bool = False) -> Stored:
     table = lambda name: spark.read.parquet(f"{path}/{name}")
     return Stored(table("postings"), table("docs"), compat_avgdl, table("lists"), table("parts"), table("best"), None if layering else table("chunks"), layering)

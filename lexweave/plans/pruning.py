@@ -131,12 +131,13 @@ def taat_steps(index: Index, terms: DataFrame, k: int = search.K, layering: str
     number = terms.select("qid", "term", (F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1).alias("no"))
     parts = cut(number.join(index.parts.select("term", "layer", "n", "max_score"), "term"), "taat-parts")
     depth = parts.agg(F.max("layer")).first()[0]
+    lists = index.of_terms(terms.select("term")).select("term", "doc_id", "score", "layer")
     done = spark.createDataFrame([], "qid bigint, doc_id bigint")
     told = []
     acc, open_ = None, terms.select("qid").distinct()
     for layer in range((depth if depth is not None else -1) + 1):
         asked = parts.filter(F.col("layer") == layer).join(open_, "qid", "left_semi").select("qid", "term", "no")
-        rows = index.of_terms(asked.select("term"), index.postings.filter(F.col("layer") == layer)).select("term", "doc_id", "score").join(asked, "term")
+        rows = lists.filter(F.col("layer") == layer).join(asked, "term")
         new = rows.select("qid", "doc_id", "score", F.array("no").alias("met"))
         if acc is not None:
             grow = new.join(state.filter("not creates").select("qid"), "qid", "left_semi").join(acc.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")  # noqa: F821

@@ -62,9 +62,9 @@ def _full(spark: SparkSession, d: str, positions: bool = False) -> ix.Index:
 
 
 def _store(spark: SparkSession, d: str, layering: str | None = None) -> store.Stored:
-    """The stored index of the documents: of one layer with positions, or of several without."""
+    """The stored index of the documents: of one layer with positions, or, made from that, of several without."""
     docs = _docs(spark, d)
-    return store.once(ix.build(docs, positions=not layering), docs, ("documents",), layering)
+    return store.once(_store(spark, d) if layering else ix.build(docs, positions=True), docs, ("documents",), layering)
 
 
 # --- SQL building blocks -------------------------------------------------------
