@@ -13,11 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.session import cut, ship
 
+#: Rows that a range holds on average, where their number is known.
+RANGE = 2 << 20
+
 
 def _starts(names: pa.Array, last: str | None) -> np.ndarray:
     """Where a row's name differs from the one before; last: the name before the first row."""
@@ -85,3 +89,79 @@ def numbered(df: DataFrame, by: str, order: list[Column | str], rank: str | None
         out = out.withColumn(total[0], F.col("__sum") + F.coalesce("__base", F.lit(0)))
     keep = [n for n in names if n != "__part"]
     return out.select(*keep, *([rank] if rank else []), *([lag[0]] if lag else []), *([total[0]] if total else []))
+
+
+def _chunks(size: int) -> Callable:
+    """Sorted batches (name, id) of a range as rows (name, chunk_no, v, prior, whole).
+
+    Chunks of lists that begin here are whole, with gaps as ``v``. Ids of the range's
+    first list, which may have begun before, and of its last unfinished chunk, which may
+    go on, are told as they are; ``prior`` is the id before them where it is known.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        held, chunk, prior = np.zeros(0, np.int64), 0, 0
+
+        def rows(names: pa.Array, numbers: np.ndarray, values: np.ndarray, length: np.ndarray, before: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+            offsets = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(values))
+            return pa.RecordBatch.from_arrays([names, pa.array(numbers.astype(np.int32)), lists, pa.array(before, mask=np.asarray(pc.equal(names, first).to_numpy(zero_copy_only=False), bool) | whole), pa.array(whole)], ["name", "chunk_no", "v", "prior", "whole"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column(0)
+            new = _starts(names, last)
+            ids = np.r_[held, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)]
+            # the list that goes on has a start of its own, before its held ids
+            goes_on = len(held) > 0 or not new[0]
+            starts = np.r_[np.zeros(int(goes_on), np.int64), np.flatnonzero(new) + len(held)]
+            if first is None:
+                first = names[0].as_py()
+            of = names.take(pa.array(np.flatnonzero(new)))
+            group_name = pa.concat_arrays([pa.array([last] if goes_on else [], names.type), of])
+            count = np.diff(np.append(starts, len(ids)))
+            at = np.arange(len(ids)) - np.repeat(starts, count)
+            lag = np.r_[0, ids[:-1]]
+            lag[starts] = 0
+            if goes_on:
+                lag[0] = prior
+            begin = np.flatnonzero(at % size == 0)
+            length = np.diff(np.append(begin, len(ids)))
+            group = np.searchsorted(starts, begin, "right") - 1
+            number = at[begin] // size + np.where(goes_on & (group == 0), chunk, 0)
+            open_ = int(length[-1]) < size  # the last chunk may grow
+            n = len(begin) - open_
+            held, chunk, prior = (ids[begin[-1] :], int(number[-1]), int(lag[begin[-1]])) if open_ else (ids[:0], int(number[-1]) + 1, int(ids[-1]))
+            last = group_name[len(group_name) - 1].as_py()
+            if n:
+                told = group_name.take(pa.array(group[:n]))
+                whole = ~np.asarray(pc.equal(told, first).to_numpy(zero_copy_only=False), bool)
+                upto = int(begin[n]) if open_ else len(ids)
+                values = np.where(np.repeat(whole, length[:n]), (ids - lag)[:upto], ids[:upto])
+                yield rows(told, number[:n], values, length[:n], lag[begin[:n]], whole)
+        if len(held):
+            yield rows(pa.array([last]), np.array([chunk]), held, np.array([len(held)]), np.array([prior]), np.array([False]))
+
+    return run
+
+
+def chunked(df: DataFrame, by: str, value: str, size: int) -> DataFrame:
+    """Rows (``by``, chunk_no, v) of a written table: the gaps of each ``size`` values of a list, in order.
+
+    A range has whole chunks of all lists but those at its ends; these, few rows, are
+    numbered afterwards.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(by, F.col(value).cast("bigint").alias(value))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE)
+    ranges = rows.repartitionByRange(parts, by, value).sortWithinPartitions(by, value)
+    told = cut(ranges.mapInArrow(_chunks(size), f"{by} string, chunk_no int, v array<bigint>, prior bigint, whole boolean"), "chunked")
+    ends = told.filter("not whole")
+    begun = ends.filter("prior is not null").select(by, F.col("chunk_no").alias("__chunk"), F.col("prior").alias("__prior"))
+    left = numbered(ends.select(by, F.explode("v").alias(value)), by, [value], rank="__rank", lag=("__before", value)).join(F.broadcast(begun), by, "left")
+    left = left.select(by, value, (F.col(value) - F.coalesce("__before", "__prior", F.lit(0))).alias("gap"), (F.coalesce("__chunk", F.lit(0)) + F.floor(F.col("__rank") / size)).cast("int").alias("chunk_no"))
+    left = left.groupBy(by, "chunk_no").agg(F.array_sort(F.collect_list(F.struct(value, "gap"))).alias("v")).select(by, "chunk_no", F.col("v.gap").alias("v"))
+    return told.filter("whole").select(by, "chunk_no", "v").unionByName(left)

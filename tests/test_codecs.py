@@ -62,3 +62,42 @@ def test_sizes_equal_encoded_lengths(spark):
     names = ["null", "vbyte", "rice", "turbo-rice"]
     for r in df.select("v", *[codecs.size_of(n, F.col("v")).alias(n) for n in names]).collect():
         assert [r[n] for n in names] == [len(codecs.encode(n, r.v)) for n in names]
+
+
+def test_chunks_of_gaps_go_on_over_ranges_and_batches(spark, tmp_path):
+    from lexweave.operators import ranks
+
+    ids = {"all": list(range(3, 4000, 2)), "one": [7], "z": list(range(0, 512 * 9, 9)), **{f"t{k}": list(range(k, 900, k)) for k in range(1, 30)}}
+    want = {}
+    for t, docs in ids.items():
+        gaps = [b - a for a, b in zip([0, *docs], docs)]
+        want |= {(t, i // 128): gaps[i : i + 128] for i in range(0, len(gaps), 128)}
+    spark.createDataFrame([(t, i) for t, docs in ids.items() for i in reversed(docs)], "term string, doc_id int").write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, batch in ((1, 100), (1, 10_000), (4, 128), (13, 33), (60, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = ranks.chunked(rows, "term", "doc_id", 128).collect()
+            assert {(r.term, r.chunk_no): r.v for r in got} == want and len(got) == len(want)
+        assert ranks.chunked(rows.limit(0), "term", "doc_id", 128).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_sizes_and_checksums_are_counted_a_batch_at_once(spark):
+    """Neither goes through Spark's lambdas, which cost microseconds a value."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, [5, 1]), (2, []), (3, None), (4, [1 << 27] * 200), (5, [0])], "i long, v array<bigint>")
+    out = df.select("i", *[codecs.size_of(n, F.col("v")).alias(n.replace("-", "_")) for n in codecs.CLOSED], codecs.checksum(F.col("v")).alias("sum"))
+    assert "lambda" not in out._jdf.queryExecution().toString()
+    want = 0
+    for _ in range(200):
+        want = (want * 31 + (1 << 27)) % 1000003
+    assert {r.i: r.sum for r in out.collect()} == {1: 156, 2: 0, 3: None, 4: want, 5: 0}
+    assert {r.i: (r.null, r.vbyte, r.rice, r.turbo_rice) for r in out.filter("i <> 4").collect()} == {1: (2, 1, 2, 3), 2: (0, 0, 0, 0), 3: (None,) * 4, 5: (1, 1, 2, 2)}
+    with pytest.raises(ValueError):
+        codecs.size_of("s9", F.col("v"))
