@@ -120,6 +120,27 @@ def postings(df: DataFrame, key: str, text: Column, positions: bool = False) ->
     return rows.mapInArrow(_postings(positions), f"term string, doc_id {kind}, tf bigint, doc_len bigint" + (", positions array<int>" if positions else ""))
 
 
+def _frequencies(names: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(names, pa.string())
+        for b in batches:
+            for i, j, terms, doc, _, length in runs(b.column(1)):
+                no = pc.fill_null(pc.index_in(terms, asked), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                kept = no >= 0
+                key, tf = np.unique(doc[kept] * len(names) + no[kept], return_counts=True)
+                offsets = pa.array(np.searchsorted(key, np.arange(j - i + 1) * len(names)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key % max(len(names), 1), tf)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(length.astype(np.int64)), *lists], ["doc_id", "doc_len", "nos", "tfs"])
+
+    return run
+
+
+def frequencies(df: DataFrame, key: str, text: Column, names: Sequence[str]) -> DataFrame:
+    """Rows (doc_id, doc_len, nos, tfs), one a document: numbers of the named terms that it has, and how often."""
+    rows, kind = _keyed(df, key, text)
+    return rows.mapInArrow(_frequencies(names), f"doc_id {kind}, doc_len bigint, nos array<int>, tfs array<int>")
+
+
 def html_items(html: Column) -> Column:
     """Tags and tokens in order, scripts removed."""
     return F.regexp_extract_all(F.regexp_replace(html, SCRIPT, " <script> "), F.lit(TAG_OR_TOKEN), F.lit(0))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from lexweave.functions.bm25 import DIGITS
 from lexweave.operators import store
 from lexweave.operators.index import Index
+from lexweave.operators.asked import Asked
 from lexweave.operators.store import Stored
-from lexweave.plans import search
+from lexweave.plans import by_document, search
 from lexweave.session import cut
 
 #: Slack for rounding: a bound that misses theta by less is kept.
@@ -32,6 +33,13 @@ def kth(scores: DataFrame, k: int) -> DataFrame:
     return best.filter(F.col("at") == k).select("qid", F.col("score").alias("theta"))
 
 
+def kth_scores(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """The same of whole scores of the queries' documents."""
+    if by_document.fits(index, terms):
+        return kth(by_document.candidates(index, terms, k), k)
+    return kth(search.summed(search.lists(index, terms)), k)
+
+
 def theta_from(seed: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """theta of the partial sums over some postings (term, doc_id, score): no document scores less than its part."""
     return kth(seed.join(terms, "term").groupBy("qid", "doc_id").agg(F.sum("score").alias("score")), k)
@@ -58,12 +66,28 @@ def _max_score(index: Stored, terms: DataFrame, theta: DataFrame, k: int, by: tu
     return search.top(search.summed(rows, F.max("essential").alias("candidate")).filter("candidate"), k)
 
 
+def _seeded(index: Asked, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The terms with the bound ``ub`` of each list, and theta, from the best postings of lists that are read by document."""
+    best = cut(index.best(), "asked-best")
+    bounds = best.groupBy("term").agg(F.max("score").alias("ub"))
+    return terms.join(F.broadcast(bounds), "term"), theta_from(best, terms, k)
+
+
 def wand(index: Index, terms: DataFrame, k: int = search.K) -> DataFrame:
+    if by_document.fits(index, terms):
+        bounds, theta = _seeded(index, terms, k)
+        least = {r.qid: r.theta - EPS for r in theta.collect()}
+        return search.top(by_document.candidates(index, bounds.withColumn("value", F.col("ub")), k, least=least), k)
     index = store.of(index, terms)
     return _wand(index, terms, theta_from(index.best, terms, k), k)
 
 
 def max_score(index: Index, terms: DataFrame, k: int = search.K) -> DataFrame:
+    if by_document.fits(index, terms):
+        bounds, theta = _seeded(index, terms, k)
+        rest = Window.partitionBy("qid").orderBy(F.desc("ub"), "term").rowsBetween(0, Window.unboundedFollowing)
+        bounds = bounds.withColumn("rest", F.sum("ub").over(rest)).join(theta, "qid", "left")
+        return search.top(by_document.candidates(index, bounds.withColumn("value", _at_least(F.col("rest")).cast("int")), k), k)
     index = store.of(index, terms)
     return _max_score(index, terms, theta_from(index.best, terms, k), k)
 

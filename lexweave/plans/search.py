@@ -18,6 +18,7 @@ from lexweave.functions import text
 from lexweave.functions.bm25 import DIGITS
 from lexweave.operators.index import Index
 from lexweave.operators.store import Stored
+from lexweave.plans import by_document
 
 K = 10
 CANDIDATES = 200
@@ -57,16 +58,22 @@ def conjunction(rows: DataFrame) -> DataFrame:
 
 
 def daat_or(index: Index, terms: DataFrame, k: int = K) -> DataFrame:
+    if by_document.fits(index, terms):
+        return top(by_document.candidates(index, terms, k), k)
     return top(summed(lists(index, terms)), k)
 
 
 def taat_or(index: Index, terms: DataFrame, k: int = K) -> DataFrame:
     """Accumulators: each term's partial scores are added to what the terms before gave the document."""
+    if by_document.fits(index, terms):
+        return top(by_document.candidates(index, terms, k), k)
     acc = lists(index, terms).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
     return top(acc, k)
 
 
 def daat_and(index: Index, terms: DataFrame, k: int = K) -> DataFrame:
+    if by_document.fits(index, terms):
+        return top(by_document.candidates(index, terms, k, whole=True), k)
     return top(conjunction(lists(index, terms)), k)
 
 
@@ -95,6 +102,8 @@ def lexicon_check(index: Index, terms: DataFrame, mode: str = "and") -> DataFram
 
 def match_counts(index: Index, terms: DataFrame, mode: str = "or") -> DataFrame:
     """Rows (qid, n_matches): how many documents hold one term, or all."""
+    if by_document.fits(index, terms):
+        return by_document.matches(index, terms, mode == "and")
     p = index.lookup(terms.select("term")).join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("held"), F.first("n_terms").alias("n_terms"))
     p = p.filter("held = n_terms") if mode == "and" else p
     return p.groupBy("qid").agg(F.count("*").alias("n_matches"))
