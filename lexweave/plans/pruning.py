@@ -11,6 +11,7 @@ the lists of the queries alone.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from lexweave.functions.bm25 import DIGITS
 from lexweave.operators import store
 from lexweave.operators.index import Index
 from lexweave.operators.asked import Asked
+from lexweave.operators.asked_layers import Layered
 from lexweave.operators.store import Stored
 from lexweave.plans import by_document, search
 from lexweave.session import cut
@@ -73,6 +75,24 @@ def _seeded(index: Asked, terms: DataFrame, k: int) -> tuple[DataFrame, DataFram
     return terms.join(F.broadcast(bounds), "term"), theta_from(best, terms, k)
 
 
+def _essential(bounds: DataFrame, theta: DataFrame) -> DataFrame:
+    """The terms with ``value`` 1 where the lists from this one on, by falling bound, reach theta."""
+    rest = Window.partitionBy("qid").orderBy(F.desc("ub"), "term").rowsBetween(0, Window.unboundedFollowing)
+    return bounds.withColumn("rest", F.sum("ub").over(rest)).join(theta, "qid", "left").withColumn("value", _at_least(F.col("rest")).cast("int"))
+
+
+def _told(index: Index, terms: DataFrame, layering: str) -> bool:
+    """Whether the index has these layers by document."""
+    return isinstance(index, Layered) and index.layering == layering and by_document.fits(index, terms)
+
+
+def _from_tops(index: Layered, terms: DataFrame, k: int) -> tuple[DataFrame, dict]:
+    """The terms with the bound ``ub`` of each list, and theta less slack of each query, from what the top layers hold."""
+    ub = [(t, float(u)) for t, u in zip(index.names, index.max_score.max(0))]
+    bounds = terms.join(F.broadcast(terms.sparkSession.createDataFrame(ub, "term string, ub double")), "term")
+    return bounds, {r.qid: r.theta - EPS for r in kth(by_document.candidates(index, terms, k, layers=1), k).collect()}
+
+
 def wand(index: Index, terms: DataFrame, k: int = search.K) -> DataFrame:
     if by_document.fits(index, terms):
         bounds, theta = _seeded(index, terms, k)
@@ -84,10 +104,7 @@ def wand(index: Index, terms: DataFrame, k: int = search.K) -> DataFrame:
 
 def max_score(index: Index, terms: DataFrame, k: int = search.K) -> DataFrame:
     if by_document.fits(index, terms):
-        bounds, theta = _seeded(index, terms, k)
-        rest = Window.partitionBy("qid").orderBy(F.desc("ub"), "term").rowsBetween(0, Window.unboundedFollowing)
-        bounds = bounds.withColumn("rest", F.sum("ub").over(rest)).join(theta, "qid", "left")
-        return search.top(by_document.candidates(index, bounds.withColumn("value", _at_least(F.col("rest")).cast("int")), k), k)
+        return search.top(by_document.candidates(index, _essential(*_seeded(index, terms, k)), k), k)
     index = store.of(index, terms)
     return _max_score(index, terms, theta_from(index.best, terms, k), k)
 
@@ -114,17 +131,26 @@ def _tops(index: Stored) -> DataFrame:
 
 def dual_wand(index: Index, terms: DataFrame, k: int = search.K, layering: str | None = None) -> DataFrame:
     """theta from the top layers; then as wand."""
+    if _told(index, terms, layering or "percentage_2"):
+        bounds, least = _from_tops(index, terms, k)
+        return search.top(by_document.candidates(index, bounds.withColumn("value", F.col("ub")), k, least=least), k)
     index = _layered(index, terms, layering or "percentage_2")
     return _wand(index, terms, theta_from(_tops(index).select("term", "doc_id", "score"), terms, k), k)
 
 
 def dual_max_score(index: Index, terms: DataFrame, k: int = search.K, layering: str | None = None) -> DataFrame:
+    if _told(index, terms, layering or "percentage_2"):
+        bounds, least = _from_tops(index, terms, k)
+        value = _essential(bounds, terms.sparkSession.createDataFrame([(q, t + EPS) for q, t in least.items()], terms.select("qid").schema.add("theta", "double")))
+        return search.top(by_document.candidates(index, value, k), k)
     index = _layered(index, terms, layering or "percentage_2")
     return _max_score(index, terms, theta_from(_tops(index).select("term", "doc_id", "score"), terms, k), k)
 
 
 def multi_or(index: Index, terms: DataFrame, k: int = search.K, layering: str | None = None) -> DataFrame:
     """The disjunction over all disjoint layers."""
+    if _told(index, terms, layering or "percentage_8"):
+        return search.daat_or(index, terms, k)
     return search.daat_or(_layered(index, terms, layering or "percentage_8"), terms, k)
 
 
@@ -134,6 +160,19 @@ def multi_max_score(index: Index, terms: DataFrame, k: int = search.K, layering:
     A document is in one layer of a list at most, so bounds may be counted for each
     layer: that only raises them.
     """
+    if _told(index, terms, layering or "percentage_8"):
+        theta = {r.qid: r.theta for r in theta_from(index.best(), terms, k).collect()}
+        log = by_document.Log(index, terms)
+        value = np.zeros((len(log.query), len(index.n)))
+        no = np.repeat(np.arange(len(index.names)), np.diff(log.start))
+        for q, qid in enumerate(log.qids):
+            pair = np.flatnonzero(log.query == q)
+            layer, at = np.nonzero(index.n[:, no[pair]])
+            order = np.argsort(-index.max_score[layer, no[pair][at]], kind="stable")
+            layer, at = layer[order], at[order]
+            rest = np.cumsum(index.max_score[layer, no[pair][at]][::-1])[::-1]
+            value[pair[at], layer] = rest >= theta.get(qid, -np.inf) - EPS
+        return search.top(by_document.candidates(index, terms, k, value=value), k)
     index = _layered(index, terms, layering or "percentage_8")
     return _max_score(index, terms, theta_from(index.best, terms, k), k, ("term", "layer"))
 
@@ -150,6 +189,9 @@ def taat_steps(index: Index, terms: DataFrame, k: int = search.K, layering: str
     are, too); its other layers are not read. Rows read: (qid, layers, postings,
     early_terminated, ranked).
     """
+    if _told(index, terms, layering or "percentage_8"):
+        steps = by_document.Steps(index, terms, k)
+        return index, steps.left_over(False), steps.read()
     index = _layered(index, terms, layering or "percentage_8")
     spark = terms.sparkSession
     number = terms.select("qid", "term", (F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1).alias("no"))
@@ -200,6 +242,8 @@ def taat_steps(index: Index, terms: DataFrame, k: int = search.K, layering: str
 
 def layered_taat(index: Index, terms: DataFrame, k: int = search.K, layering: str | None = None) -> DataFrame:
     """Early-terminated layers, then whole scores of the accumulators that are left."""
+    if _told(index, terms, layering or "percentage_8"):
+        return search.top(by_document.Steps(index, terms, k).left_over(True), k)
     index, left, _ = taat_steps(index, terms, k, layering)
     rows = index.of_terms(terms.select("term")).select("term", "doc_id", "score").join(terms.select("qid", "term"), "term").join(left, ["qid", "doc_id"], "left_semi")
     return search.top(search.summed(rows), k)

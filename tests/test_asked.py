@@ -82,3 +82,48 @@ def test_searches_make_no_whole_index(spark, sf_dir):
     for name in ("daat_or_batch", "wand", "kth_score", "retrieve_docids", "multi_layered_max_score"):
         assert queries.QUERIES[name](spark, sf_dir).count() > 0
     assert store._BUILT and all(("documents",) not in key for key in store._BUILT)
+
+
+def test_layers_by_document_are_those_of_ranks(both):
+    from lexweave.operators import asked_layers, layers
+
+    plain, some = both
+    for name in ("percentage_2", "percentage_8", "equal_4"):
+        got = asked_layers.layered(some, name)
+        posted = got.forward.select("doc_id", F.explode(F.arrays_zip("nos", "layers")).alias("p")).collect()
+        want = layers.layerify(some.scored(), name).select("term", "doc_id", "layer")
+        assert sorted((got.names[r.p.nos], r.doc_id, r.p.layers) for r in posted) == rows(want)
+        stats = {(r.term, r.layer): r["count"] for r in want.groupBy("term", "layer").count().collect()}
+        assert {(got.names[no], layer): got.n[layer, no] for layer in range(len(got.n)) for no in range(len(got.names)) if got.n[layer, no]} == stats
+    with pytest.raises(ValueError):
+        asked_layers.layered(some, "exponential_2")
+
+
+@pytest.mark.parametrize("k,cells", [(1, 2 << 20), (7, 300), (900, 2 << 20)])
+def test_layered_searches_by_document_equal_the_joins(both, terms, k, cells, monkeypatch):
+    from lexweave.operators import asked_layers
+
+    plain, some = both
+    monkeypatch.setattr(by_document, "CELLS", cells)
+    want = rows(search.daat_or(plain, terms, k))
+    two, eight = asked_layers.layered(some, "percentage_2"), asked_layers.layered(some, "percentage_8")
+    assert rows(pruning.dual_wand(two, terms, k)) == rows(pruning.dual_max_score(two, terms, k)) == want
+    assert rows(pruning.multi_or(eight, terms, k)) == rows(pruning.multi_max_score(eight, terms, k)) == rows(pruning.layered_taat(eight, terms, k)) == want
+
+
+def test_early_termination_by_document_reads_what_the_joins_read(spark, both, terms, tmp_path):
+    from lexweave.operators import asked_layers
+
+    docs = spark.createDataFrame([(i, ("rare " * (30 - i) if i < 3 else "") + "common " * (1 + i % 5) + "x " * (20 + i % 50)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    log = search.query_terms(spark.createDataFrame([(1, "rare common"), (2, "nowhere"), (3, "common"), (4, "rare"), (5, "rare x")], "qid long, query string"))
+    some = asked.read(docs, [r.term for r in log.collect()])
+    for n, (index, asks, ks) in enumerate(((some, log, (2,)), (both[1], terms, (2,)))):
+        stored = store.write(index, str(tmp_path / str(n)), "percentage_8")
+        eight = asked_layers.layered(index, "percentage_8")
+        for k in ks:
+            _, left, read = pruning.taat_steps(stored, asks, k)
+            _, left_too, read_too = pruning.taat_steps(eight, asks, k)
+            assert rows(read_too) == rows(read) and rows(left_too) == rows(left)
+            assert rows(pruning.layered_taat(eight, asks, k)) == rows(search.daat_or(index, asks, k))
+        if n == 0:
+            assert any(r.early_terminated for r in read_too.collect())
