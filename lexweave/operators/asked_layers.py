@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.bm25 import DIGITS
 from lexweave.operators.asked import Asked, flat, score
-from lexweave.operators.layers import LEAST, Strategy, strategy
+from lexweave.operators.layers import Strategy, starts, strategy
 from lexweave.session import cut, ship
 
 _ALL = np.int64(np.iinfo(np.int64).min)
@@ -32,27 +32,6 @@ class Layered(Asked):
     layering: str = ""
 
 
-def starts(n: np.ndarray, s: Strategy) -> list[int]:
-    """Ranks at which layers by shares start, of a list whose runs of equal scores have these lengths; as ``layers.boundaries``."""
-    ends, start, out = np.cumsum(n), 0, []
-    total = int(ends[-1])
-    for i, share in enumerate(s.shares):
-        left = total - start
-        if left <= 0:
-            break
-        out.append(start)
-        size = int(np.floor(share / 100.0 * total))
-        if s.most and s.most[i]:
-            size = min(size, s.most[i])
-        size = min(size, left)
-        size = LEAST if size < LEAST <= left else size
-        end = total if i == s.layers - 1 or left - size < size else start + size
-        if end < total:
-            end = max(end, int(ends[np.searchsorted(ends, start, "right")]))
-        start = end
-    return out
-
-
 def _points(b: pa.RecordBatch, idf: np.ndarray, avgdl: float):
     length, row, no, tf = flat(b)
     return row, no, np.floor(score(tf, length[row], idf[no], avgdl) * 10**DIGITS + 0.5).astype(np.int64)

@@ -7,13 +7,21 @@ number is bounded), and the boundaries are at most eight steps over it.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions import bm25
 from lexweave.functions.bm25 import DIGITS
-from lexweave.operators.ranks import numbered
+from lexweave.operators.index import Index
+from lexweave.operators.ranks import RANGE, _starts, numbered
+from lexweave.session import cut, ship
 
 LEAST = 128
 MAX_LAYERS = 8
@@ -75,6 +83,36 @@ def _size(s: Strategy, i: int, n: Column) -> Column:
     return size.cast("bigint")
 
 
+def _count(s: Strategy, i: int, n: int) -> int:
+    """``_size`` of a number."""
+    if s.shares:
+        size = math.floor(s.shares[i] / 100.0 * n)
+        return min(size, s.most[i]) if s.most and s.most[i] else size
+    base = math.pow(n, 1.0 / s.layers)
+    low = [s.steps[0], s.steps[1]]
+    while len(low) <= i:
+        low.append(low[-1] + low[-2])
+    return max(math.floor((base - 1.0) * math.pow(base, i)), low[i], s.least[i] if s.least else 0)
+
+
+def starts(n: np.ndarray, s: Strategy) -> tuple[int, ...]:
+    """``boundaries`` of one list, whose runs of equal scores have these lengths."""
+    ends, start, out = np.cumsum(n), 0, []
+    total = int(ends[-1])
+    for i in range(s.layers):
+        left = total - start
+        if left <= 0:
+            break
+        out.append(start)
+        size = min(_count(s, i, total), left)
+        size = LEAST if size < LEAST <= left else size
+        end = total if i == s.layers - 1 or left - size < size else start + size
+        if end < total:
+            end = max(end, int(ends[np.searchsorted(ends, start, "right")]))
+        start = end
+    return tuple(out)
+
+
 def boundaries(scored: DataFrame, s: Strategy, digits: int = DIGITS) -> DataFrame:
     """Rows (term, starts): rank at which each layer of the list starts."""
     runs = scored.groupBy("term", F.round("score", digits).alias("score")).agg(F.count("*").alias("n"))
@@ -121,3 +159,86 @@ def layer_stats(layers: DataFrame, digits: int = DIGITS) -> DataFrame:
 def df_of(parts: DataFrame, overlapping: bool = False) -> DataFrame:
     """Rows (term, df) of whole lists from their layers (term, layer, n): the last of overlapping ones holds all."""
     return parts.groupBy("term").agg((F.max("n") if overlapping else F.sum("n")).alias("df"))
+
+
+#: Postings of short lists that are ranked in one go.
+BLOCK = 1 << 17
+
+
+def _within(s: Strategy, n_docs: int, avgdl: float) -> Callable:
+    """Sorted batches (term, doc_id, tf, doc_len) of a range, with score, layer and the number of the list's layers; no layer for the first and the last list of the range."""
+    def ranked(b: pa.RecordBatch, edge: list[str], short: Callable) -> pa.RecordBatch:
+        new = np.flatnonzero(_starts(b.column(0), None))
+        df = np.diff(np.append(new, b.num_rows))
+        names = b.column(0).take(pa.array(new)).to_pylist()
+        group = np.repeat(np.arange(len(new)), df)
+        doc, tf, length = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        idf = np.log10(1 + (n_docs - df + 0.5) / (df + 0.5))[group]
+        score = idf * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B) + bm25.K1 * bm25.B / avgdl * length)
+        points = np.floor(score * 10**DIGITS + 0.5)
+        order = np.lexsort((doc, -points, group))
+        run = np.flatnonzero(np.r_[True, (group[order][1:] != group[order][:-1]) | (points[order][1:] != points[order][:-1])])
+        runs = np.diff(np.append(run, b.num_rows))
+        first = np.searchsorted(run, np.append(new, b.num_rows))
+        layer, of = np.zeros(b.num_rows, np.int32), np.ones(b.num_rows, np.int32)
+        for g, name in enumerate(names):
+            lo, hi = int(new[g]), int(new[g] + df[g])
+            if name in edge:
+                layer[lo:hi] = -1
+            elif hi - lo > 1:
+                n = runs[first[g] : first[g + 1]]
+                at = short(tuple(n.tolist())) if len(n) <= 64 else starts(n, s)
+                if len(at) > 1:
+                    layer[order[lo:hi]] = np.searchsorted(at, np.arange(hi - lo), "right") - 1
+                    of[lo:hi] = len(at)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(layer), pa.array(of)], [*b.schema.names, "score", "layer", "layers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = lru_cache(1 << 16)(lambda n: starts(np.array(n), s))
+        first, held, rows, enough = None, [], 0, BLOCK
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = b.column(0)[0].as_py() if first is None else first
+            held.append(b)
+            rows += b.num_rows
+            if rows < enough:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(_starts(whole.column(0), None))[-1])
+            if last:
+                yield ranked(whole.slice(0, last), [first], short)
+            elif whole.column(0)[0].as_py() == first:  # the list of the range's start: left as it is, not held
+                yield ranked(whole, [first], short)
+                last = rows
+            held, rows = ([whole.slice(last)], rows - last) if last < rows else ([], 0)
+            enough = max(BLOCK, 2 * rows)
+        if rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield ranked(whole, [first, whole.column(0)[rows - 1].as_py()], short)
+
+    return run
+
+
+def layers_of(index: Index, name: str | Strategy, overlapping: bool = False) -> DataFrame:
+    """Rows (term, layer, doc_id, tf, score) of a whole index, as ``layerify`` of its scored postings.
+
+    A list that one range holds is scored and ranked there; those at a range's ends are
+    ranked over all.
+    """
+    s = strategy(name)
+    rows = cut(index.postings.select("term", "doc_id", "tf", "doc_len"), "postings")
+    spark = rows.sparkSession
+    ship(spark)
+    stats = index.stats.first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE)
+    ranges = rows.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    told = cut(ranges.mapInArrow(_within(s, stats.n_docs, stats.avgdl), f"{kinds}, score double, layer int, layers int"), "layers")
+    done = told.filter("layer >= 0")
+    if overlapping:
+        done = done.withColumn("layer", F.explode(F.sequence(F.col("layer"), F.col("layers") - 1)))
+    ends = told.filter("layer < 0").select(*rows.columns)
+    ends = layerify(Index(ends, index.docs, index.compat_avgdl).scored(), s, overlapping=overlapping)
+    pick = lambda df: df.select("term", "layer", "doc_id", "tf", "score")
+    return pick(done).unionByName(pick(ends))

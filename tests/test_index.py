@@ -168,3 +168,19 @@ def test_legacy_layerings(spark, big):
         assert got.count() == big.postings.count()
     sizes = {r.layer: r["count"] for r in got.filter("term = 't1'").groupBy("layer").count().collect()}
     assert sum(sizes.values()) == 700 and sizes[0] >= layers.LEAST
+
+
+@pytest.mark.parametrize("parts,block,name", [(1, 50, "percentage_8"), (5, 1 << 17, "exponential_2"), (13, 100, layers.Strategy(4, least=(130,) * 4, steps=(64, 140)))])
+def test_layers_within_ranges_equal_those_of_ranks(spark, big, parts, block, name, monkeypatch):
+    want = rows(layers.layerify(big.scored(), name, overlapping=parts == 5), "term", "layer", "doc_id", "tf")
+    monkeypatch.setattr(layers, "BLOCK", block)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    whole = []
+    monkeypatch.setattr(layers, "cut", lambda df, n, cut=layers.cut: whole.append(cut(df, n)) or whole[-1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert rows(layers.layers_of(big, name, parts == 5), "term", "layer", "doc_id", "tf") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    # most lists need no rank over all ranges
+    assert whole[1].filter("layer < 0").select("term").distinct().count() <= 2 * parts
