@@ -101,3 +101,19 @@ def test_sizes_and_checksums_are_counted_a_batch_at_once(spark):
     assert {r.i: (r.null, r.vbyte, r.rice, r.turbo_rice) for r in out.filter("i <> 4").collect()} == {1: (2, 1, 2, 3), 2: (0, 0, 0, 0), 3: (None,) * 4, 5: (1, 1, 2, 2)}
     with pytest.raises(ValueError):
         codecs.size_of("s9", F.col("v"))
+
+
+def test_rice_of_many_arrays_is_that_of_each(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    arrays = [rng.integers(0, top, n).astype(np.int64) for top in (1, 2, 100, 70_000, codecs.LIMIT) for n in (0, 1, 2, 31, 128, 300)]
+    arrays += [np.array(x, np.int64) for x in ([0] * 128, [codecs.LIMIT - 1] * 3, [0] * 100 + [100_000])]
+    v, n = np.concatenate(arrays), np.array([len(a) for a in arrays])
+    words, many = codecs.rice_encode_many(v, n)
+    each = [codecs.encode("rice", a) for a in arrays]
+    assert many.tolist() == [len(w) for w in each] and (words == np.concatenate(each)).all()
+    assert (codecs.rice_decode_many(words, many, n) == v).all()
+    df = spark.createDataFrame([(1, [5, 1]), (2, []), (3, None), (4, [9] * 200)], "i long, v array<bigint>")
+    back = codecs.decoded("rice", codecs.encoded("rice", F.col("v")), F.size("v"))
+    assert {r.i: r.b for r in df.select("i", back.alias("b")).collect()} == {1: [5, 1], 2: [], 3: None, 4: [9] * 200}
